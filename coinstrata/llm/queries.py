@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from coinstrata.llm._common import tables
+from coinstrata.llm.bpe import encode_digests
 from coinstrata.llm.exact_dedup import exact_dedup
+from coinstrata.llm.packing import pack_documents
+from coinstrata.llm.secrets import find_secrets
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"))
 
 
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(tables(spark, sf_dir, "documents"))
+
+
+def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(tables(spark, sf_dir, "documents"))
+
+
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(tables(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {f.__name__: f for f in (op2_exact_dedup, op6_bpe_tree, op8_tier_packing, op10_secret_battery)}
 
 
 def oracle_sql() -> dict[str, str]:
