@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from coinstrata.llm._common import tables
 from coinstrata.llm.bpe import encode_digests
 from coinstrata.llm.exact_dedup import exact_dedup
+from coinstrata.llm.jaccard_join import near_groups
+from coinstrata.llm.language_id import identify
 from coinstrata.llm.packing import pack_documents
 from coinstrata.llm.secrets import find_secrets
 
@@ -17,10 +19,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(tables(spark, sf_dir, "documents"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(tables(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(tables(spark, sf_dir, "documents"))
+
+
 def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"))
 
@@ -30,7 +40,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_bpe_tree, op8_tier_packing, op10_secret_battery)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_jaccard_join, op6_bpe_tree, op7_language_id, op8_tier_packing, op10_secret_battery)}
 
 
 def oracle_sql() -> dict[str, str]:
