@@ -11,8 +11,11 @@ from coinstrata.llm.bpe import encode_digests
 from coinstrata.llm.exact_dedup import exact_dedup
 from coinstrata.llm.jaccard_join import near_groups
 from coinstrata.llm.language_id import identify
+from coinstrata.llm.license_scan import oracle as license_oracle
+from coinstrata.llm.license_scan import scan_licenses
 from coinstrata.llm.packing import pack_documents
 from coinstrata.llm.secrets import find_secrets
+from coinstrata.llm.url_rules import filter_urls
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(tables(spark, sf_dir, "documents"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(tables(spark, sf_dir, "pages"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(tables(spark, sf_dir, "documents"))
 
@@ -35,12 +42,16 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(tables(spark, sf_dir, "documents"))
 
 
+def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(tables(spark, sf_dir, "documents"))
+
+
 def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(tables(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_jaccard_join, op6_bpe_tree, op7_language_id, op8_tier_packing, op10_secret_battery)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_jaccard_join, op5_url_rules, op6_bpe_tree, op7_language_id, op8_tier_packing, op9_license_diagonals, op10_secret_battery)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -51,4 +62,5 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents""",
+        "op9_license_diagonals": license_oracle(),
     }
