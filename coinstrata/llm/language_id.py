@@ -182,12 +182,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     language that comes first.  Other columns are not read; no rows give no rows.
     """
     model = train(*sample(docs, id_col, text_col, lang_col))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**sent.value)
         for batch in batches:
             for a, z, texts in chunks(batch, size=1 << 19):
-                langs, scores, ok = zip(*predict(sent.value, texts))
+                langs, scores, ok = zip(*predict(model, texts))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("held_out").slice(a, z - a), pa.array(langs), pa.array(scores, pa.float64()), pa.array(ok)], schema=_OUT)
 
     rows = text_rows(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
@@ -197,13 +198,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose language is rejected, all columns as they were."""
     model = train(*sample(docs, id_col, text_col, lang_col))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**sent.value)
         for batch in batches:
             for a, z, texts in chunks(batch, text_col, size=1 << 19):
-                ok = [accepted for *_, accepted in predict(sent.value, texts)]
+                ok = [accepted for *_, accepted in predict(model, texts)]
                 yield batch.slice(a, z - a).filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

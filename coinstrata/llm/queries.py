@@ -14,14 +14,24 @@ from coinstrata.llm.language_id import identify
 from coinstrata.llm.license_scan import oracle as license_oracle
 from coinstrata.llm.license_scan import scan_licenses
 from coinstrata.llm.packing import pack_documents
+from coinstrata.llm.scaled_sketch import compare_edited
 from coinstrata.llm.secrets import find_secrets
+from coinstrata.llm.suffix_tree import score_texts
 from coinstrata.llm.url_rules import filter_urls
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(tables(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"))
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(tables(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(tables(spark, sf_dir, "documents"))
 
@@ -50,8 +60,14 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(tables(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_jaccard_join, op5_url_rules, op6_bpe_tree, op7_language_id, op8_tier_packing, op9_license_diagonals, op10_secret_battery)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_exact_dedup, op3_scaled_sketch, op4_jaccard_join, op5_url_rules, op6_bpe_tree, op7_language_id, op8_tier_packing, op9_license_diagonals, op10_secret_battery, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
