@@ -751,7 +751,7 @@ def FN37_chunk_name(t):
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ['a' || event_id, 'b'] END AS origins FROM events", plain=True)
 def FN29_origins(t):
-    raw = F.when(F.col("event_id") % 3 == 0, " , ").otherwise(F.concat(F.lit("a"), F.col("event_id").cast("string"), F.lit(" ,, b ")))
+    raw = F.when(F.col("event_id") % 3 == 0, " , ").otherwise(F.concat(F.lit("a"), F.col("event_id").cast("string"), F.lit(" ,, b")))
     return t.read("events").select("event_id", text.origins(raw).alias("origins"))
 
 
