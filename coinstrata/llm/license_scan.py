@@ -36,7 +36,7 @@ TEMPLATES = {
 }
 
 #: Share of a template's pairs that a span must hold.
-COVER = 0.8
+COVER = 0.85
 #: Diagonals this far apart are of one span.
 SHIFT = 2
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,8 +71,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     base = votes.filter("kind = 'base' AND size(found) = pairs").select("doc_id", "key", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("score"), F.lit(True).alias("base"))
     line = Window.partitionBy(*same).orderBy("diagonal")
     near = votes.filter("kind = 'more'").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > SHIFT).cast("int"), F.lit(1)))
-    spans = near.withColumn("span", F.sum("new").over(line)).groupBy(*same, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
-    more = spans.filter((F.col("held") >= F.col("pairs") * COVER) & (F.col("high") - F.col("low") < 2 * F.col("pairs") + SHIFT))
+    spans = near.withColumn("span", F.sum("new").over(line)).groupBy(*same, "span").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = spans.withColumn("held", F.size("all"))
+    more = spans.filter((F.col("held") >= F.col("pairs") * COVER) & F.array_contains("all", F.col("pairs") - 1) & (F.col("high") - F.col("low") < 2 * F.col("pairs") + SHIFT))
     more = more.select("doc_id", "key", "label", F.lit(None).cast("int").alias("start"), (F.col("held") / F.col("pairs")).alias("score"), F.lit(False).alias("base"))
     found = base.union(more).groupBy("doc_id", "key").agg(
         F.count("start").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"),
@@ -97,9 +98,9 @@ def oracle() -> str:
                   FROM pairs JOIN places ON a = first AND b = second GROUP BY ALL),
         near AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END AS new FROM votes WHERE kind = 'more'),
         numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM near),
-        spans AS (SELECT doc_id, label, pairs, template, span, len(list_distinct(flatten(list(found)))) AS held, min(low) AS low, max(high) AS high FROM numbered GROUP BY ALL),
+        spans AS (SELECT doc_id, label, pairs, template, span, list_distinct(flatten(list(found))) AS every, len(list_distinct(flatten(list(found)))) AS held, min(low) AS low, max(high) AS high FROM numbered GROUP BY ALL),
         found AS (SELECT doc_id, label, diagonal AS start, 1.0::DOUBLE AS score, TRUE AS base FROM votes WHERE kind = 'base' AND len(found) = pairs
-                  UNION ALL SELECT doc_id, label, NULL, held / pairs, FALSE FROM spans WHERE held >= pairs * {COVER} AND high - low < 2 * pairs + {SHIFT}),
+                  UNION ALL SELECT doc_id, label, NULL, held / pairs, FALSE FROM spans WHERE held >= pairs * {COVER} AND list_contains(every, pairs - 1) AND high - low < 2 * pairs + {SHIFT}),
         result AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
                    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY doc_id)
         SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

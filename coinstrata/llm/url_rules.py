@@ -41,16 +41,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.greatest(*fits) if len(fits) > 1 else fits[0]
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[^a-z0-9]+"), lambda t: t.rlike("[a-z]"))
+def _words(text: Column, mark: str) -> Column:
+    """Words with a letter, marked by where they stand."""
+    return F.transform(F.filter(F.split(text, "[^a-z0-9]+"), lambda t: t.rlike("[a-z]")), lambda t: F.concat(F.lit(mark), t))
 
 
 def url_rows(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     low = F.translate(F.col("path"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = [F.transform(_words(c), lambda t, m=m: F.concat(F.lit(m), t)) for c, m in ((F.col("host"), "h:"), (low, "p:"))]
-    return rows.withColumn("given", rule_of(F.col("host"), F.col("path"), rules)).withColumn("tokens", F.array_distinct(F.concat(*marked)))
+    return rows.withColumn("given", rule_of(F.col("host"), F.col("path"), rules)).withColumn("tokens", F.array_distinct(F.concat(_words(F.col("host"), "h:"), _words(low, "p:"))))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
