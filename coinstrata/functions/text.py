@@ -118,7 +118,7 @@ def record_hash(*columns: Column) -> Column:
 
 def origins(raw: Column) -> Column:
     """Allowed origins of a comma list; null (none allowed) without any."""
-    parts = F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,11 +167,11 @@ def SNK2_apply_batch(t):
     return changes.apply_changes(table.filter("false"), both, ["k"]).select("k", "seq")
 
 
-@query("SELECT script_hash, height FROM first_seen WHERE height >= 1200")
+@query("SELECT script_hash, height FROM first_seen WHERE height >= 3")
 def SNK9_first_seen_if_absent(t):
     out = t.outputs()
-    known = derive.first_seen(out.filter("height < 1200"), SEEN_ORDER)
-    return hexed(derive.first_seen(out.filter("height >= 1200"), SEEN_ORDER).join(known.select("script_hash"), "script_hash", "left_anti").select("script_hash", "height"))
+    known = derive.first_seen(out.filter("height < 3"), SEEN_ORDER)
+    return hexed(derive.first_seen(out.filter("height >= 3"), SEEN_ORDER).join(known.select("script_hash"), "script_hash", "left_anti").select("script_hash", "height"))
 
 
 @query("SELECT (height // 1000)::BIGINT AS bucket, count(*) AS n FROM outputs GROUP BY 1")
@@ -808,6 +809,130 @@ def STR26_unknown_inputs(t):
     return hexed(spends.anomalies(spends.match(t.outputs(), t.spends(), ORDER)).filter("spend_height < 1000").select("txid", "vout", "spender_txid"))
 
 
+def _store(t: Tables, undo: int = 2000):
+    """A new store under the checkpoint folder."""
+    import tempfile
+    import uuid
+
+    from coinstrata.streaming.store import Store
+
+    root = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
+    return Store(t.spark, f"{root}/store-{uuid.uuid4()}", undo)
+
+
+def _commit(store, t: Tables, name: str, low: int, high: int) -> None:
+    here = lambda c: (F.col(c) >= low) & (F.col(c) < high)
+    store.commit(name, t.outputs().filter(here("height")), t.spends().filter(here("spend_height")), t.blocks().filter(here("height")))
+
+
+@query("SELECT txid, vout, value, height FROM utxo")
+def STR1_committed_batches(t):
+    store = _store(t)
+    for k, (low, high) in enumerate(((0, 900), (900, 1800), (1800, 1 << 20))):
+        _commit(store, t, f"b{k}", low, high)
+    _commit(store, t, "b2", 1800, 1 << 20)  # a batch that comes again does nothing
+    return whole(hexed(store.utxo().select("txid", "vout", "value", "height")))
+
+
+@query("SELECT txid, vout, value, height FROM utxo")
+def STR5_reorganised_chain(t):
+    store = _store(t)
+    _commit(store, t, "a", 0, 1200)
+    _commit(store, t, "wrong", 1200, 1600)
+    store.rollback(1200)
+    _commit(store, t, "right", 1200, 1 << 20)
+    return whole(hexed(store.utxo().select("txid", "vout", "value", "height")))
+
+
+@query("SELECT txid, vout, value, height FROM utxo")
+def STR4_compacted_store(t):
+    store = _store(t, 48)
+    _commit(store, t, "a", 0, 1500)
+    store.compact()
+    _commit(store, t, "b", 1500, 1 << 20)
+    store.compact()
+    return whole(hexed(store.utxo().select("txid", "vout", "value", "height")))
+
+
+@query("SELECT script_hash, height FROM first_seen")
+def SNK9_store_first_seen(t):
+    store = _store(t, 48)
+    _commit(store, t, "a", 0, 2)
+    _commit(store, t, "b", 2, 1 << 20)
+    store.compact()
+    return hexed(store.first_seen().select("script_hash", "height"))
+
+
+@query("SELECT tip AS height, sha256('blk:' || tip) AS block_hash, (SELECT count(*) FROM utxo) AS outputs FROM tip")
+def API11_snapshot(t):
+    from coinstrata.streaming.store import Store
+
+    store = _store(t)
+    _commit(store, t, "all", 0, 1 << 20)
+    store.export(f"{store.root}/snapshot")
+    again = Store.restore(t.spark, f"{store.root}/snapshot", f"{store.root}/again")
+    height, block_hash = again.tip()
+    return again.utxo().agg(F.lit(height).alias("height"), F.lit(block_hash).alias("block_hash"), F.count("*").alias("outputs"))
+
+
+@query("SELECT doc_id AS height, sha256(text) AS script_hash, n_chars AS value, FALSE AS coinbase FROM documents", plain=True)
+def DEC1_decode_blocks(t):
+    from collections.abc import Iterator
+
+    from coinstrata.sources import codec, files
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = []
+            for i, text_, n in zip(b["doc_id"], b["text"], b["n_chars"]):
+                tx = codec.Tx(1, [(b"\1" * 32, int(i), b"", 0)], [(int(n), text_.encode())])
+                made.append(codec.Block(codec.make_header(b"\0" * 32, tx.txid()[::-1], int(i)), [tx]).encode())
+            yield pd.DataFrame({"height": b["doc_id"].astype("int32"), "block": made})
+
+    blocks = t.read("documents").select("doc_id", "text", "n_chars").mapInPandas(encode, "height int, block binary")
+    return whole(hexed(files.facts(files.decode(blocks))[0].select("height", "script_hash", "value", "coinbase")))
+
+
+@query("SELECT event_id, '76a914' || sha256('ev:' || event_id)[1:40] || '88ac' AS script, 'p2pkh' AS type FROM events WHERE event_id < 2000", plain=True)
+def FN11_FN12_addresses(t):
+    from coinstrata.functions import addresses
+
+    @F.pandas_udf("string")
+    def address_of(h: pd.Series) -> pd.Series:
+        return h.map(lambda x: addresses.base58check_encode(b"\0" + bytes(x)[:20]))
+
+    h = hashing.sha256(F.concat(F.lit("ev:"), F.col("event_id").cast("string")))
+    rows = t.read("events").filter("event_id < 2000").select("event_id", address_of(h).alias("a"))
+    return hexed(rows.select("event_id", addresses.script_column(F.col("a"), "bitcoin-mainnet").alias("script"), addresses.type_column(F.col("a"), "bitcoin-mainnet").alias("type")))
+
+
+@query("SELECT name, last, block_hash, last < 2390 AND height IS NOT NULL AS reusable FROM files LEFT JOIN blocks ON height = last")
+def V8_reusable_chunks(t):
+    from coinstrata.plans.archive import chunks_match
+
+    ours = t.files().join(t.blocks().select(F.col("height").alias("last"), "block_hash"), "last", "left")
+    return hexed(chunks_match(ours, _branch(t)).select("name", "last", "block_hash", "reusable"))
+
+
+@query("SELECT family, 0::BIGINT AS wrong FROM (VALUES ('none')) v(family) WHERE FALSE", plain=True)
+def V6_record_widths(t):
+    return validate.widths(_families(t), derive.WIDTHS)
+
+
+@query("SELECT 'K' AS family, count(*) AS n FROM matched m WHERE height < spend_height UNION ALL SELECT 'M', count(*) FROM matched m WHERE height < spend_height")
+def J7_archive_families(t):
+    matched = spends.archive(spends.match(t.outputs(), t.spends(), ORDER)).withColumn("spend_block_hash", hashing.sha256(F.concat(F.lit("blk:"), F.col("spend_height").cast("string"))))
+    return derive.undo_archive(matched).groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query("SELECT depth, height FROM (SELECT row_number() OVER (ORDER BY height DESC) - 1 AS depth, height FROM blocks) WHERE depth <= 20")
+def STR5_walk_back(t):
+    # the walk goes along previous hashes, within the undo window
+    near = hexed(derive.last_blocks(t.blocks(), 21).select("block_hash", "prev_hash", "height"))
+    tip = near.orderBy(F.desc("height")).first()["block_hash"]
+    return spends.walk_back(near, tip).select("depth", "height")
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------------
 
 

@@ -305,3 +305,61 @@ def test_arguments_and_config():
     assert config.coerce("a, ,B", "csv_lower") == ["a", "b"] and config.coerce("a,,b", "csv_sparse") == ["a", None, "b"]
     assert config.confirmations_for(c, 1) == 6 and config.verify_defaults("bitcoin-mainnet") == (True, True) and config.verify_defaults("x", False, True) == (True, True)
     assert config.without_notes({"$x": 1, "y": {"$z": 2, "w": 3}}) == {"y": {"w": 3}} and config.codes("dogecoin-regtest") == (3, 3)
+
+
+def test_archives(tmp_path):
+    import tarfile
+
+    from coinstrata.plans import archive
+
+    for n in ("CURRENT", "MANIFEST-1", "x.ldb"):
+        (tmp_path / n).write_text(n)
+    inner = tmp_path / "store.tar.gz"
+    with tarfile.open(inner, "w:gz") as t:
+        for n in ("CURRENT", "MANIFEST-1", "x.ldb"):
+            t.add(tmp_path / n, n)
+    (tmp_path / "store.tar.gz.sha256").write_text(archive.digest(inner) + "  store.tar.gz\n")
+    outer = tmp_path / "wrapper.tar.gz"
+    with tarfile.open(outer, "w:gz") as t:
+        t.add(inner, "store.tar.gz")
+        t.add(tmp_path / "store.tar.gz.sha256", "store.tar.gz.sha256")
+    work = tmp_path / "work"
+    work.mkdir()
+    assert archive.validated(outer, work).name == "store.tar.gz" and archive.validated(inner, work) == inner
+    with pytest.raises(text.BadArgument):
+        archive.validated(inner, work, checksum="00")
+    with pytest.raises(text.BadArgument):
+        archive.validated(inner, work, verify=lambda d: False)
+    assert archive.members(inner, 2) == ["CURRENT", "MANIFEST-1"] and not archive.holds_store(["x"])
+    done = []
+    assert archive.restored(lambda: 1 / 0, lambda: done.append(1), lambda: None) == "kept" and not done
+    assert archive.restored(lambda: None, lambda: done.append(1), lambda: None) == "restored" and done
+
+
+def test_metrics_and_logs():
+    from coinstrata.streaming.observe import LogBuffer, Registry
+
+    r = Registry()
+    c = r.make("counter", "n_total", "rows", ("route",))
+    c.add(2, route='a"b')
+    c.put(1, route='a"b')
+    h = r.make("histogram", "s", "seconds", (), (1, 5))
+    h.observe(3)
+    assert 'n_total{route="a\\"b"} 2' in r.render() and 's_bucket{le="5"} 1' in r.render() and 's_bucket{le="1"} 0' in r.render() and "s_sum 3" in r.render()
+    for bad in (lambda: r.make("gauge", "n_total", ""), lambda: r.make("gauge", "1x", ""), lambda: c.add(-1, route="x"), lambda: c.add(1)):
+        with pytest.raises(ValueError):
+            bad()
+    for i in range(600):
+        c.add(1, route=str(i))
+    assert len(c.series) == 500 and c.dropped == 101
+    out = []
+    b = LogBuffer(out.extend, most=3, batch=2)
+    for i in range(5):
+        b.log("info", str(i), token="x", deep={"password": "y", "ok": [1]})
+    assert b.dropped == 2 and b.flush() == 3 and out[0]["fields"] == {"token": "[redacted]", "deep": {"password": "[redacted]", "ok": [1]}}
+
+
+def test_registry_of_queries(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
