@@ -1,7 +1,7 @@
 """Bag difference of outputs and spends: equal keys cancel one for one.
 
-A plain left anti join would drop every output of a key as soon as one spend has it.  Rows of a key are numbered on both
-sides, earliest first, and the numbered keys meet in one join; the latest outputs survive.
+A plain left anti join would drop every output of a key as soon as one spend has it.  Rows of a key are numbered, earliest
+first, and as many go as there are spends of the key; the latest outputs survive.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ def as_outpoint(spends: DataFrame) -> DataFrame:
     return spends.withColumnsRenamed({"prev_txid": "txid", "prev_vout": "vout"})
 
 
-def bag_anti_join(left: DataFrame, right: DataFrame, key: list[str] = OUTPOINT, order: list | None = None, right_order: list | None = None) -> DataFrame:
-    """Rows of left that no row of right cancels."""
-    a = numbered(left, key, order or key)
-    b = numbered(right.select(*key, *[c for c in (right_order or []) if isinstance(c, str) and c not in key]), key, right_order or key).select(*key, "rn")
-    return a.join(b, [*key, "rn"], "left_anti").drop("rn")
+def bag_anti_join(left: DataFrame, right: DataFrame, key: list[str] = OUTPOINT, order: list | None = None) -> DataFrame:
+    """Rows of left that no row of right cancels.
+
+    Right is counted by key, with map-side aggregation, and left's rows stay from that place on.  Window and join share
+    one shuffle of left by key.
+    """
+    counted = right.groupBy(*key).agg(F.count("*").alias("_n"))
+    return numbered(left, key, order or key).join(counted, key, "left").filter(F.col("rn") > F.coalesce("_n", F.lit(0))).drop("rn", "_n")
 
 
 def orphans(outputs: DataFrame, spends: DataFrame, key: list[str] = OUTPOINT, order: list | None = None) -> DataFrame:

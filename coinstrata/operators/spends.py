@@ -13,9 +13,11 @@ def match(outputs: DataFrame, spends: DataFrame, order: list) -> DataFrame:
 
     outputs must hold the batch's own, so that spends of the same block or batch match in any order.
     """
-    key = [*OUTPOINT, "rn"]
     left = numbered(as_outpoint(spends), OUTPOINT, ["spend_height", "spender_txid"])
-    return left.join(numbered(outputs, OUTPOINT, order), key, "left").drop("rn")
+    right = numbered(outputs, OUTPOINT, order, "_rn").withColumnsRenamed({"txid": "_txid", "vout": "_vout"})
+    # the places are compared outside the keys, so that the windows' partitions serve the join too
+    same = (F.col("txid") == F.col("_txid")) & (F.col("vout") == F.col("_vout")) & (F.col("rn") - F.col("_rn") == 0)
+    return left.join(right, same, "left").drop("rn", "_rn", "_txid", "_vout")
 
 
 def anomalies(matched: DataFrame) -> DataFrame:
