@@ -19,9 +19,8 @@ def window_floor(last: Column | int, undo: int) -> Column:
 
 
 def in_window(rows: DataFrame, blocks: DataFrame, undo: int, height: str = "height") -> DataFrame:
-    """Rows of the last `undo` heights; the tip is one row, so the join is a broadcast of one."""
-    tip = blocks.agg(F.max("height").alias("_tip"))
-    return rows.join(F.broadcast(tip), F.col(height) >= window_floor(F.col("_tip"), undo)).drop("_tip")
+    """Rows of the last `undo` heights; the tip is a scalar subquery, so the scan gets a plain bound."""
+    return rows.filter(F.col(height) >= window_floor(blocks.agg(F.max("height")).scalar(), undo))
 
 
 def with_row_id(outputs: DataFrame, order: list[str]) -> DataFrame:

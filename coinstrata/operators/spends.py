@@ -49,8 +49,8 @@ def fork_height(local: DataFrame, node: DataFrame) -> DataFrame:
 
 def rollback_plan(local: DataFrame, node: DataFrame, undo: int) -> DataFrame:
     """One row: fork, depth, recoverable (within the undo window)."""
-    top = local.agg(F.max("height").alias("tip"))
-    return fork_height(local, node).crossJoin(F.broadcast(top)).select("fork", F.coalesce(F.col("tip") - F.col("fork") + 1, F.lit(0)).alias("depth")).withColumn("recoverable", F.col("depth") <= undo)
+    tip = local.agg(F.max("height")).scalar()
+    return fork_height(local, node).select("fork", F.coalesce(tip - F.col("fork") + 1, F.lit(0)).alias("depth")).withColumn("recoverable", F.col("depth") <= undo)
 
 
 def walk_back(blocks: DataFrame, tip_hash: str, view: str = "chain_blocks") -> DataFrame:

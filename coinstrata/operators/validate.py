@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from coinstrata.functions.hashing import block_id
 
 
+#: Parts of a family that are sampled apart.
+SALTS = 64
+
+
 def linkage(blocks: DataFrame) -> DataFrame:
     """Each block with the first rule it breaks: header, height, link, genesis; null if none.
 
@@ -19,8 +23,7 @@ def linkage(blocks: DataFrame) -> DataFrame:
     and not by a window over all blocks, so no task sees the whole chain.
     """
     before = blocks.select((F.col("height") + 1).alias("height"), F.col("block_hash").alias("_hash"))
-    low = blocks.agg(F.min("height").alias("_low"))
-    j = blocks.join(before, "height", "left").join(F.broadcast(low))
+    j = blocks.join(before, "height", "left").withColumn("_low", blocks.agg(F.min("height")).scalar())
     zero = F.unhex(F.lit("00" * 32))
     header = F.when(block_id(F.col("header")) != F.col("block_hash"), "header") if "header" in blocks.columns else F.lit(None)
     error = F.coalesce(
@@ -104,8 +107,10 @@ def first_diffs(diffs: DataFrame, key: list[str], n: int = 20) -> DataFrame:
 
 def hashed_sample(rows: DataFrame, family: list[str], key: Column, n: int, seed: int = 0) -> DataFrame:
     """n rows of each family, those with the least hashes: the same for the same seed, whatever the partitions."""
-    w = Window.partitionBy(*family).orderBy("_place", key)
-    return rows.withColumn("_place", F.xxhash64(key, F.lit(seed))).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_place", "_rank")
+    placed = rows.withColumn("_key", key).withColumn("_place", F.xxhash64("_key", F.lit(seed))).withColumn("_salt", F.pmod("_place", F.lit(SALTS)))
+    for part in ([*family, "_salt"], family):  # a large family is ranked in parts first, so that its last task sees SALTS * n rows
+        placed = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy("_place", "_key"))).filter(F.col("_rank") <= n)
+    return placed.drop("_key", "_place", "_salt", "_rank")
 
 
 def lookup(sample: DataFrame, truth: DataFrame, key: list[str], column: str) -> DataFrame:

@@ -61,7 +61,7 @@ class Tables:
 
     def pending(self) -> DataFrame:
         top = self.read("lineitem").agg((F.max("l_suppkey") + 1).alias("n"))
-        rows = self.read("events").filter("event_type = 'purchase'").crossJoin(F.broadcast(top))  # one row
+        rows = self.read("events").filter("event_type = 'purchase'").withColumn("n", top.scalar())
         return rows.select(
             sha256(F.concat(F.lit("ev:"), F.col("event_id").cast("string"))).alias("txid"), F.lit(0).cast("long").alias("vout"),
             (F.round(F.col("value") * 100).cast("decimal(20,0)") * F.lit(1_000_000)).cast("decimal(20,0)").alias("value"),
@@ -70,7 +70,7 @@ class Tables:
 
     def pending_spends(self) -> DataFrame:
         n = self.read("orders").agg(F.count("*").alias("n"))
-        rows = self.read("events").filter("event_type = 'click'").crossJoin(F.broadcast(n))  # one row
+        rows = self.read("events").filter("event_type = 'click'").withColumn("n", n.scalar())
         return rows.select(sha256(F.concat(F.lit("tx:"), (F.col("event_id") % F.col("n")).cast("string"))).alias("prev_txid"), (F.col("user_id") % 7).alias("prev_vout")).distinct()
 
     def files(self) -> DataFrame:

@@ -481,8 +481,7 @@ def AGG13_pending_totals(t):
 @query("SELECT tip AS node, tip AS committed, (SELECT count(*) FROM pending) AS mempool, (SELECT count(*) FROM pending) = 0 AS ready FROM tip")
 def AGG14_is_quiescent(t):
     one = t.blocks().agg(F.max("height").alias("node")).withColumn("committed", F.col("node"))
-    m = t.pending().agg(F.count("*").alias("mempool"))
-    return one.crossJoin(m).withColumn("ready", status.quiescent(F.col("node"), F.col("committed"), F.col("mempool")))
+    return one.withColumn("mempool", t.pending().agg(F.count("*")).scalar()).withColumn("ready", status.quiescent(F.col("node"), F.col("committed"), F.col("mempool")))
 
 
 LEAVES = "(SELECT doc_id // 64 AS height, doc_id % 64 AS pos, sha256(sha256(coalesce(text, ''))) AS leaf FROM documents)"
