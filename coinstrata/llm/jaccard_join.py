@@ -7,12 +7,15 @@ hashes in one order, the first |A| - t + k of A and of B share k at least.
    cost one row each from here on.
 2. Sieve: senders deal the first 0.2 |A| + 0.1 |A| hashes of each class, as sorted and gap-coded blocks, to owners of hash
    ranges, who count for each class those that some other class holds too.  Classes with fewer than 0.1 |A| can't link.
-3. Stars: what is left is bucketed by each of its first 0.2 |A| + 1 hashes.  The least class of a bucket is compared with
-   all of it, in two rounds (least, greatest), which is linear, and links found make components.
-4. Tiles: in buckets that still hold several components, cut into blocks of at most BLOCK classes in order of size, the
+3. Entries: the hashes of what is left are dealt to owners once more, whole, and counted.  In the order of their counts,
+   rare ones first, the first |A| - t + 1 of a class index it; those that no other class holds take part in the order
+   but need no bucket, so a class with a fifth of its own hashes has none.
+4. Stars: the least class of a bucket is compared with all of it, in two rounds (least, greatest), which is linear, and
+   links found make components.
+5. Tiles: in buckets that still hold several components, cut into blocks of at most BLOCK classes in order of size, the
    classes of any two blocks of compatible sizes meet in a tile.  Set bits of signatures bound the overlap from above:
    |A n B| <= min(|A| - |a and not b|, |B| - |b and not a|).  Pairs of different components that pass are intersected.
-5. Components of all links; a class's documents share its component.
+6. Components of all links; a class's documents share its component.
 
 No pair within a component has to be looked at twice, so a group of n near copies costs about n comparisons.
 """
@@ -170,14 +173,71 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ENTRIES = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_WHOLE = pa.schema([("owner", pa.int32()), ("h", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+
+
+def _deal_whole(owners: int):
+    """All hashes of the classes, as blocks for owners of ranges."""
+
+    def block(hashes: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        h, at = np.concatenate(hashes), np.repeat(np.arange(len(hashes), dtype=np.uint32), [len(x) for x in hashes])
+        owner = (h >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)
+        order = np.argsort(owner, kind="stable")
+        h, at, cuts = h[order], at[order], np.searchsorted(owner[order], np.arange(owners + 1))
+        ids, sizes = np.array(nodes, dtype=np.int64).tobytes(), np.array([len(x) for x in hashes], dtype=np.int64).tobytes()
+        return pa.RecordBatch.from_pylist([{"owner": o, "h": h[a:z].tobytes(), "at": at[a:z].tobytes(), "nodes": ids, "sizes": sizes} for o, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a], schema=_WHOLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, nodes, size = [], [], 0
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+                hashes.append(np.frombuffer(raw, np.uint64))
+                nodes.append(node)
+                size += len(hashes[-1])
+                if size >= GATHER // 4:
+                    yield block(hashes, nodes)
+                    hashes, nodes, size = [], [], 0
+        if hashes:
+            yield block(hashes, nodes)
+
+    return run
+
+
+_COUNTED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("k", pa.binary())])
+
+
+def _frequencies(blocks: pa.Table) -> pa.Table:
+    """For each class its hashes in this range that another class holds, with how many hold them."""
+    hashes, nodes, sizes = [], [], []
+    for r in blocks.to_pylist():
+        at = np.frombuffer(r["at"], np.uint32)
+        hashes.append(np.frombuffer(r["h"], np.uint64))
+        nodes.append(np.frombuffer(r["nodes"], np.int64)[at])
+        sizes.append(np.frombuffer(r["sizes"], np.int64)[at])
+    h, node, size = np.concatenate(hashes), np.concatenate(nodes), np.concatenate(sizes)
+    _, at, k = np.unique(h, return_inverse=True, return_counts=True)
+    k = k[at].astype(np.uint32)
+    order = np.flatnonzero(k > 1)
+    order = order[np.argsort(node[order], kind="stable")]
+    h, node, size, k = h[order], node[order], size[order], k[order]
+    cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)).tolist() + [len(node)] if len(node) else [0]
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table([pa.array([int(node[a]) for a, _ in spans], pa.int64()), pa.array([int(size[a]) for a, _ in spans], pa.int64()), pa.array([h[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([k[a:z].tobytes() for a, z in spans], pa.binary())], schema=_COUNTED)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first hashes of each class, one of which any partner has among its own."""
+    """The first hashes of each class in order of frequency that some other class holds; any partner has one of them
+    among its own first ones."""
     for batch in batches:
-        for node, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "hashes"))):
-            h = np.frombuffer(raw, np.int64)[: n - needed(n) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), n))], schema=_ENTRIES)
+        out: list[tuple[np.ndarray, int, int]] = []
+        for node, n, parts in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "parts"))):
+            h, k = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in parts]), np.concatenate([np.frombuffer(p["k"], np.uint32) for p in parts])
+            first = n - needed(n) + 1 - (n - len(h))
+            if first > 0:
+                out.append((h[np.lexsort((h, k))[:first]].view(np.int64), node, n))
+        if out:
+            length = [len(h) for h, _, _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _, _ in out])), pa.array(np.repeat([x for _, x, _ in out], length)), pa.array(np.repeat([n for _, _, n in out], length))], schema=_ENTRIES)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -231,16 +291,13 @@ def _stars(entries: DataFrame, head) -> DataFrame:
     return entries.join(heads, "h").filter((F.col("node") != F.col("a")) & _compatible("n", "m")).select("a", F.col("node").alias("b")).distinct()
 
 
-def _tile(rows: pa.Table) -> pa.Table:
+def _meet(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile that may link: of its left and right block, of different components, each once."""
-    if len(rows) < 2:
-        return _PAIRS.empty_table()
-    node, root, n, side = (np.asarray(rows.column(c)) for c in ("node", "root", "n", "side"))
-    bits = [np.frombuffer(b, np.uint64) for b in rows.column("bits").to_pylist()]
-    width = min(len(b) for b in bits)
-    words = np.stack([fold(b, width) for b in bits])
+    signs = [np.frombuffer(b, np.uint64) for b in bits]
+    width = min(len(b) for b in signs)
+    words = np.stack([fold(b, width) for b in signs])
     left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)  # side 0: both, 1: left, 2: right
-    out = []
+    out = [(node[:0], node[:0])]
     step = max(1, (1 << 20) // max(1, len(right) * width))
     for at in range(0, len(left), step):
         i = left[at : at + step]
@@ -250,10 +307,43 @@ def _tile(rows: pa.Table) -> pa.Table:
         ok &= (side[i][:, None] > 0) | (node[i][:, None] < node[right][None, :])
         x, y = np.nonzero(ok)
         out.append((node[i[x]], node[right[y]]))
-    if not out:
-        return _PAIRS.empty_table()
     a, b = (np.concatenate(c) for c in zip(*out))
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_meet of each tile in rows sorted by tile; a tile has two blocks of rows at most."""
+    found: set[tuple[int, int]] = set()
+
+    def close(rows: pa.Table) -> None:
+        if len(rows) > 1:
+            a, b = _meet(*(np.asarray(rows.column(c)) for c in ("node", "root", "n", "side")), rows.column("bits").to_pylist())
+            found.update(zip(a.tolist(), b.tolist()))
+
+    def sent() -> pa.RecordBatch:
+        a, b = zip(*found)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        rows = rows.combine_chunks()
+        new = np.zeros(len(rows), dtype=bool)
+        for c in ("h", "lo", "up", "i", "j"):
+            x = np.asarray(rows.column(c))
+            new[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            close(rows.slice(a, z - a))
+        rest = rows.slice(cuts[-1])
+        if len(found) > 100_000:
+            yield sent()
+    if rest is not None:
+        close(rest)
+    if found:
+        yield sent()
 
 
 def _tiles(open_rows: DataFrame) -> DataFrame:
@@ -283,7 +373,9 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     arrays = texts.select("text").mapInArrow(_arrays, "node long, n long, bits binary, hashes binary")
     classes = materialize(arrays.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    entries = materialize(classes.select("node", "n", "hashes").mapInArrow(_entries, "h long, node long, n long"))
+    few = -(-owners // 4)
+    counted = classes.select("node", "hashes").mapInArrow(_deal_whole(few), "owner int, h binary, at binary, nodes binary, sizes binary").groupBy("owner").applyInArrow(_frequencies, "node long, n long, h binary, k binary")
+    entries = materialize(counted.groupBy("node", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts")).mapInArrow(_entries, "h long, node long, n long"))
     found = materialize(verified(_stars(entries, F.min), classes))
     pairs = _stars(entries, F.max).join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     found = materialize(found.union(verified(pairs, classes)))
@@ -293,7 +385,8 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     tiles = _tiles(labelled.join(several, "h"))
     mixed = tiles.groupBy("h", "lo", "up", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").drop("x", "y")
     rows = tiles.join(mixed, ["h", "lo", "up", "i", "j"]).join(classes.select("node", "bits"), "node")
-    pairs = rows.groupBy("h", "lo", "up", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
+    tile = ["h", "lo", "up", "i", "j"]
+    pairs = rows.repartition(owners, *tile).sortWithinPartitions(*tile).mapInArrow(_meet_all, "a long, b long").distinct()
     return found.union(verified(pairs, classes, bounded=True))
 
 
