@@ -10,11 +10,13 @@ hashes in one order, the first |A| - t + k of A and of B share k at least.
 3. Entries: the hashes of what is left are dealt to owners once more, whole, and counted.  In the order of their counts,
    rare ones first, the first |A| - t + 1 of a class index it; those that no other class holds take part in the order
    but need no bucket, so a class with a fifth of its own hashes has none.
-4. Stars: the least class of a bucket is compared with all of it, in two rounds (least, greatest), which is linear, and
-   links found make components.
+4. Stars: the class of a bucket with the fewest hashes of its own, which is near the middle of its copies, is compared with
+   all of it, in two rounds (two ways to break ties), which is linear, and links found make components.
 5. Tiles: in buckets that still hold several components, cut into blocks of at most BLOCK classes in order of size, the
-   classes of any two blocks of compatible sizes meet in a tile.  Set bits of signatures bound the overlap from above:
-   |A n B| <= min(|A| - |a and not b|, |B| - |b and not a|).  Pairs of different components that pass are intersected.
+   classes of any two blocks of compatible sizes meet in a tile.  Signatures are bitmaps of the hashes that other classes
+   hold too; own hashes are counted.  Both bound the overlap from above: A lacks in B its own hashes and at least one for
+   each bit that only a has, |A n B| <= |A| - own(A) - |a and not b|.  Pairs of different components that pass are
+   intersected.
 6. Components of all links; a class's documents share its component.
 
 No pair within a component has to be looked at twice, so a group of n near copies costs about n comparisons.
@@ -91,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _BLOCKS = pa.schema([("owner", pa.int32()), ("gaps", pa.binary()), ("wide", pa.bool_()), ("at", pa.binary()), ("nodes", pa.binary())])
 #: Hashes that a task gathers before it sends blocks.
-GATHER = 6_000_000
+GATHER = 2_000_000
 
 
 def _deal(owners: int):
@@ -161,18 +163,18 @@ def _count_shared(blocks: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids), pa.array(counts.astype(np.int64))], schema=_SHARED)
 
 
-_CLASSES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("hashes", pa.binary())])
+_CLASSES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, texts in chunks(batch):
-            rows = [{"node": set_id(h)[0], "n": len(h), "bits": signature(h).tobytes(), "hashes": h.tobytes()} for h in shingle_sets(texts) if len(h)]
+            rows = [{"node": set_id(h)[0], "n": len(h), "hashes": h.tobytes()} for h in shingle_sets(texts) if len(h)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_CLASSES)
 
 
-_ENTRIES = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("bits", pa.binary()), ("entries", pa.list_(pa.int64()))])
 _WHOLE = pa.schema([("owner", pa.int32()), ("h", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 
 
@@ -194,7 +196,7 @@ def _deal_whole(owners: int):
                 hashes.append(np.frombuffer(raw, np.uint64))
                 nodes.append(node)
                 size += len(hashes[-1])
-                if size >= GATHER // 4:
+                if size >= GATHER:
                     yield block(hashes, nodes)
                     hashes, nodes, size = [], [], 0
         if hashes:
@@ -225,19 +227,19 @@ def _frequencies(blocks: pa.Table) -> pa.Table:
     return pa.table([pa.array([int(node[a]) for a, _ in spans], pa.int64()), pa.array([int(size[a]) for a, _ in spans], pa.int64()), pa.array([h[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([k[a:z].tobytes() for a, z in spans], pa.binary())], schema=_COUNTED)
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first hashes of each class in order of frequency that some other class holds; any partner has one of them
-    among its own first ones."""
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class that may link its number of own hashes, the signature of the others, and its entries: the first
+    hashes in order of frequency that some other class holds.  Any partner has one of them among its own first ones."""
     for batch in batches:
-        out: list[tuple[np.ndarray, int, int]] = []
+        out = []
         for node, n, parts in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "parts"))):
             h, k = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in parts]), np.concatenate([np.frombuffer(p["k"], np.uint32) for p in parts])
-            first = n - needed(n) + 1 - (n - len(h))
+            own = n - len(h)
+            first = n - needed(n) + 1 - own
             if first > 0:
-                out.append((h[np.lexsort((h, k))[:first]].view(np.int64), node, n))
+                out.append((node, n, own, signature(h).tobytes(), h[np.lexsort((h, k))[:first]].view(np.int64)))
         if out:
-            length = [len(h) for h, _, _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _, _ in out])), pa.array(np.repeat([x for _, x, _ in out], length)), pa.array(np.repeat([n for _, _, n in out], length))], schema=_ENTRIES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NODES.types)], schema=_NODES)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -247,37 +249,43 @@ def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=_PAIRS).filter(pa.array(keep, pa.bool_()))
 
 
+#: Pairs whose hashes are at hand at once.
+SLICE = 200
+
+
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))):
+        for na, nb, ua, ub, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "own_a", "own_b", "bits_a", "bits_b"))):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             width = min(len(x), len(y))
             x, y = fold(x, width), fold(y, width)
-            keep.append(bool(may_link(na, nb, int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum()))))
+            keep.append(bool(may_link(na, nb, ua + int(np.bitwise_count(x & ~y).sum()), ub + int(np.bitwise_count(y & ~x).sum()))))
         yield _kept(batch, keep)
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep.append(100 * common >= LEVEL * (len(x) + len(y) - common))
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            for x, y in zip(part.column("hashes_a").to_pylist(), part.column("hashes_b").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(100 * common >= LEVEL * (len(x) + len(y) - common))
         yield _kept(batch, keep)
 
 
-def _with(pairs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+def _with(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{'_' if c != 'n' else ''}{side}" if c != "n" else f"n{side}") for c in columns)), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
     return pairs
 
 
-def verified(pairs: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
     """The pairs (a, b) that link."""
     if not bounded:
-        pairs = _with(pairs, classes, ["n", "bits"]).mapInArrow(_bound, "a long, b long")
+        pairs = _with(pairs, nodes, ["n", "own", "bits"]).mapInArrow(_bound, "a long, b long")
     return _with(pairs, classes, ["hashes"]).mapInArrow(_intersect, "a long, b long")
 
 
@@ -285,13 +293,13 @@ def _compatible(x: str, y: str) -> F.Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * LEVEL)
 
 
-def _stars(entries: DataFrame, head) -> DataFrame:
+def _stars(entries: DataFrame, tie) -> DataFrame:
     """Distinct pairs of a bucket's head with its other classes of compatible size."""
-    heads = entries.groupBy("h").agg(head(F.struct("node", "n")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
+    heads = entries.groupBy("h").agg(F.min(F.struct("own", tie.alias("tie"), "node", "n")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("h", F.col("head.node").alias("a"), F.col("head.n").alias("m"))
     return entries.join(heads, "h").filter((F.col("node") != F.col("a")) & _compatible("n", "m")).select("a", F.col("node").alias("b")).distinct()
 
 
-def _meet(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _meet(node: np.ndarray, root: np.ndarray, n: np.ndarray, own: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile that may link: of its left and right block, of different components, each once."""
     signs = [np.frombuffer(b, np.uint64) for b in bits]
     width = min(len(b) for b in signs)
@@ -303,7 +311,7 @@ def _meet(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, b
         i = left[at : at + step]
         a, b = words[i][:, None, :], words[right][None, :, :]
         only_a, only_b = np.bitwise_count(a & ~b).sum(axis=2, dtype=np.int64), np.bitwise_count(b & ~a).sum(axis=2, dtype=np.int64)
-        ok = may_link(n[i][:, None], n[right][None, :], only_a, only_b) & (root[i][:, None] != root[right][None, :])
+        ok = may_link(n[i][:, None], n[right][None, :], own[i][:, None] + only_a, own[right][None, :] + only_b) & (root[i][:, None] != root[right][None, :])
         ok &= (side[i][:, None] > 0) | (node[i][:, None] < node[right][None, :])
         x, y = np.nonzero(ok)
         out.append((node[i[x]], node[right[y]]))
@@ -313,15 +321,14 @@ def _meet(node: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, b
 
 def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """_meet of each tile in rows sorted by tile; a tile has two blocks of rows at most."""
-    found: set[tuple[int, int]] = set()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def close(rows: pa.Table) -> None:
         if len(rows) > 1:
-            a, b = _meet(*(np.asarray(rows.column(c)) for c in ("node", "root", "n", "side")), rows.column("bits").to_pylist())
-            found.update(zip(a.tolist(), b.tolist()))
+            found.append(_meet(*(np.asarray(rows.column(c)) for c in ("node", "root", "n", "own", "side")), rows.column("bits").to_pylist()))
 
     def sent() -> pa.RecordBatch:
-        a, b = zip(*found)
+        a, b = np.unique(np.stack([np.concatenate(c) for c in zip(*found)]), axis=1)
         found.clear()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
 
@@ -338,7 +345,7 @@ def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, z in zip(cuts[:-1], cuts[1:]):
             close(rows.slice(a, z - a))
         rest = rows.slice(cuts[-1])
-        if len(found) > 100_000:
+        if sum(len(a) for a, _ in found) > 100_000:
             yield sent()
     if rest is not None:
         close(rest)
@@ -347,7 +354,7 @@ def _meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(open_rows: DataFrame) -> DataFrame:
-    """open_rows (h, node, root, n, k) dealt to the tiles of their bucket: band and block by block.
+    """open_rows (h, node, root, n, own, k) dealt to the tiles of their bucket: band and block by block.
 
     A band holds sizes within a factor of 1.25, so partners are of one band or of neighbouring ones.  A block of a band is
     a share of its nodes by their (random) number, as many as the bucket's rows need.
@@ -358,7 +365,7 @@ def _tiles(open_rows: DataFrame) -> DataFrame:
     one = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("lo"), F.lit(0).alias("up"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side")))
     lower = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("lo"), F.lit(1).alias("up"), F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side")))
     upper = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct((F.col("band") - 1).alias("lo"), F.lit(1).alias("up"), i.alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))
-    return rows.select("h", "node", "root", "n", F.explode(F.concat(one, lower, upper)).alias("t")).select("h", "node", "root", "n", "t.*")
+    return rows.select("h", "node", "root", "n", "own", F.explode(F.concat(one, lower, upper)).alias("t")).select("h", "node", "root", "n", "own", "t.*")
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,23 +378,24 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     left = materialize(reps.join(shared.filter("shared > 0"), "node").filter("shared > floor(n / 10)").select("_rep", "node"))
     chosen = small_side(left.select("_rep").distinct())
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    arrays = texts.select("text").mapInArrow(_arrays, "node long, n long, bits binary, hashes binary")
+    arrays = texts.select("text").mapInArrow(_arrays, "node long, n long, hashes binary")
     classes = materialize(arrays.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     few = -(-owners // 4)
     counted = classes.select("node", "hashes").mapInArrow(_deal_whole(few), "owner int, h binary, at binary, nodes binary, sizes binary").groupBy("owner").applyInArrow(_frequencies, "node long, n long, h binary, k binary")
-    entries = materialize(counted.groupBy("node", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts")).mapInArrow(_entries, "h long, node long, n long"))
-    found = materialize(verified(_stars(entries, F.min), classes))
-    pairs = _stars(entries, F.max).join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    found = materialize(found.union(verified(pairs, classes)))
+    nodes = materialize(counted.groupBy("node", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts")).mapInArrow(_nodes, "node long, n long, own long, bits binary, entries array<long>"))
+    entries = nodes.select(F.explode("entries").alias("h"), "node", "n", "own")
+    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes))
+    pairs = _stars(entries, -F.col("node")).join(found, ["a", "b"], "left_anti")
+    found = materialize(found.union(verified(pairs, nodes, classes)))
     roots = components(found)
-    labelled = entries.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")))
     several = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("h", "k")
-    tiles = _tiles(labelled.join(several, "h"))
-    mixed = tiles.groupBy("h", "lo", "up", "i", "j").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").drop("x", "y")
-    rows = tiles.join(mixed, ["h", "lo", "up", "i", "j"]).join(classes.select("node", "bits"), "node")
+    tiles = materialize(_tiles(labelled.join(several, "h")))
     tile = ["h", "lo", "up", "i", "j"]
+    mixed = tiles.groupBy(*tile).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").drop("x", "y")
+    rows = tiles.join(mixed, tile).join(nodes.select("node", "bits"), "node")
     pairs = rows.repartition(owners, *tile).sortWithinPartitions(*tile).mapInArrow(_meet_all, "a long, b long").distinct()
-    return found.union(verified(pairs, classes, bounded=True))
+    return found.union(verified(pairs, nodes, classes, bounded=True))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -255,9 +255,9 @@ def test_signatures_never_lose():
 
 def test_tiles_hold_every_pair(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    rows = [(1, i * 7919 - 20, i, n, 20) for i, n in enumerate([10, 11, 12, 12, 13, 14, 15, 16, 18, 20, 22, 25, 25, 26, 30, 33, 36, 40, 41, 50])]
-    t = jaccard_join._tiles(spark.createDataFrame(rows, "h long, node long, root long, n long, k long")).collect()
-    size = {node: n for _, node, _, n, _ in rows}
+    rows = [(1, i * 7919 - 20, i, n, 0, 20) for i, n in enumerate([10, 11, 12, 12, 13, 14, 15, 16, 18, 20, 22, 25, 25, 26, 30, 33, 36, 40, 41, 50])]
+    t = jaccard_join._tiles(spark.createDataFrame(rows, "h long, node long, root long, n long, own long, k long")).collect()
+    size = {node: n for _, node, _, n, _, _ in rows}
     met = collections.Counter()
     groups = collections.defaultdict(list)
     for x in t:
