@@ -78,5 +78,16 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                    sha256(coalesce(text, '')) AS text_sha256
             FROM documents""",
+        "op4_jaccard_join": r"""
+            WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s FROM split),
+            each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+            pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (na + nb - shared)),
+            ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+            reach(doc_id, other) AS (SELECT a, b FROM ways UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+            SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+            FROM sets s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s""",
         "op9_license_diagonals": license_oracle(),
     }
