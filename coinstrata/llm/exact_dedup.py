@@ -24,6 +24,8 @@ from coinstrata.llm._common import materialize, small_side, text_rows
 SLACK_BITS = 20
 #: Fingerprints that one owner handles.
 OWNER_ROWS = 2_000_000
+#: Groups of equal texts, about 100 bytes each, that a broadcast may hold; with more of them joins shuffle.
+GROUPS = 100_000
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -137,9 +139,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = prints.select("fp", "sender").groupBy("sender").cogroup(replies.groupBy("sender")).applyInArrow(_receive(bits), "fp long")
     suspects = materialize(found.distinct())
     texts = rows.withColumn("fp", fp).join(small_side(suspects), "fp", "left_semi")
-    same = texts.groupBy(F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.count("*").alias("n")).filter("n > 1").select("sha")
-    groups = prints.join(same, "sha", "left_semi").groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("size"))
-    return prints.join(groups, "sha", "left").select(
+    same = materialize(texts.groupBy(F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.count("*").alias("n")).filter("n > 1").select("sha"))
+    groups = prints.join(small_side(same, GROUPS), "sha", "left_semi").groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("size"))
+    return prints.join(small_side(materialize(groups), GROUPS), "sha", "left").select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
