@@ -25,7 +25,7 @@ from coinstrata.llm._common import chunks, text_rows
 #: Bytes of a leaf.
 LEAF = 24
 #: Chunks that a task keeps encoded.
-CACHE = 250_000
+CACHE = 500_000
 
 _SIMPLE = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")  # no "<", which can begin a special token
 # How the vocabulary's file splits text, for the characters of _SIMPLE in lower case.
@@ -161,7 +161,13 @@ class WordBpe:
         """Encodes chunks that are not kept yet."""
         simple, split = [], []
         for w in new:
-            if _SIMPLE.fullmatch(w):
+            if w.isascii() and w.isalpha():
+                simple.append(w)
+                split.append([w.lower()])
+            elif w[-1] in ",." and w.isascii() and w[:-1].isalpha():
+                simple.append(w)
+                split.append([w[:-1].lower(), w[-1]])
+            elif _SIMPLE.fullmatch(w):
                 simple.append(w)
                 split.append(_PIECES.findall(w.lower()))
             else:
@@ -219,7 +225,7 @@ def map_encoded(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, row: Ca
         gc.disable()  # the kept chunks are many small objects without cycles
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for a, z, texts in chunks(batch):
+            for a, z, texts in chunks(batch, size=1 << 20):
                 rows = [row(i, bpe.encode(w), bpe.decoded_text(w) if decoded else b"") for i, w in zip(ids[a:z], bpe.split(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 

@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
         waiting = 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for a, z, texts in chunks(batch):
+            for a, z, texts in chunks(batch, size=1 << 20):
                 for doc_id, words in zip(ids[a:z], bpe.split(texts)):
                     rows += packer.add(doc_id, bpe.encode(words) + end)
                 waiting += z - a
