@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of one or two longs that a broadcast may hold; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Bytes of text that are handled at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Words of a shingle.
 SHINGLE = 5
 

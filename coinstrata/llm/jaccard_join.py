@@ -93,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _BLOCKS = pa.schema([("owner", pa.int32()), ("gaps", pa.binary()), ("wide", pa.bool_()), ("at", pa.binary()), ("nodes", pa.binary())])
 #: Hashes that a task gathers before it sends blocks.
-GATHER = 2_000_000
+GATHER = 700_000
 
 
 def _deal(owners: int):
@@ -380,7 +380,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     arrays = texts.select("text").mapInArrow(_arrays, "node long, n long, hashes binary")
     classes = materialize(arrays.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    few = -(-owners // 4)
+    few = -(-owners // 2)
     counted = classes.select("node", "hashes").mapInArrow(_deal_whole(few), "owner int, h binary, at binary, nodes binary, sizes binary").groupBy("owner").applyInArrow(_frequencies, "node long, n long, h binary, k binary")
     nodes = materialize(counted.groupBy("node", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts")).mapInArrow(_nodes, "node long, n long, own long, bits binary, entries array<long>"))
     entries = nodes.select(F.explode("entries").alias("h"), "node", "n", "own")

@@ -187,7 +187,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
         for batch in batches:
-            for a, z, texts in chunks(batch, size=1 << 19):
+            for a, z, texts in chunks(batch, size=1 << 17):
                 langs, scores, ok = zip(*predict(model, texts))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("held_out").slice(a, z - a), pa.array(langs), pa.array(scores, pa.float64()), pa.array(ok)], schema=_OUT)
 
@@ -204,7 +204,7 @@ def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
         for batch in batches:
-            for a, z, texts in chunks(batch, text_col, size=1 << 19):
+            for a, z, texts in chunks(batch, text_col, size=1 << 17):
                 ok = [accepted for *_, accepted in predict(model, texts)]
                 yield batch.slice(a, z - a).filter(pa.array(ok, pa.bool_()))
 
