@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from coinstrata.llm._common import chunks, text_rows
 #: Bytes of a leaf.
 LEAF = 24
 #: Chunks that a task keeps encoded.
-CACHE = 500_000
+CACHE = 300_000
 
 _SIMPLE = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")  # no "<", which can begin a special token
 # How the vocabulary's file splits text, for the characters of _SIMPLE in lower case.
@@ -208,6 +209,17 @@ class WordBpe:
         return b" ".join(filter(None, map(self.text.__getitem__, words)))
 
 
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No search for cycles while chunks, many small objects without any, are kept; a worker that goes on to other tasks
+    searches again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -222,12 +234,12 @@ def map_encoded(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, row: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path, decoded)
-        gc.disable()  # the kept chunks are many small objects without cycles
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for a, z, texts in chunks(batch, size=1 << 20):
-                rows = [row(i, bpe.encode(w), bpe.decoded_text(w) if decoded else b"") for i, w in zip(ids[a:z], bpe.split(texts))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        with without_gc():
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                for a, z, texts in chunks(batch, size=1 << 20):
+                    rows = [row(i, bpe.encode(w), bpe.decoded_text(w) if decoded else b"") for i, w in zip(ids[a:z], bpe.split(texts))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return docs.mapInArrow(run, ddl)
 

@@ -10,7 +10,6 @@ is no shuffle.  Step groups hold sequences of one tier with the same number of t
 
 from __future__ import annotations
 
-import gc
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from coinstrata.llm._common import chunks, text_rows
-from coinstrata.llm.bpe import WordBpe, default_path
+from coinstrata.llm.bpe import WordBpe, default_path, without_gc
 
 #: Window lengths; powers of two.
 TIERS = (2048, 1024, 512, 256, 128, 64)
@@ -123,7 +122,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         bpe, packer = WordBpe(path), Packer(tiers, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
 
@@ -133,19 +131,20 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
             return out
 
         waiting = 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for a, z, texts in chunks(batch, size=1 << 20):
-                for doc_id, words in zip(ids[a:z], bpe.split(texts)):
-                    rows += packer.add(doc_id, bpe.encode(words) + end)
-                waiting += z - a
-                if waiting >= BLOCK:
-                    rows += packer.flush()
-                    waiting = 0
-                if len(rows) > 5000:
-                    yield done()
-        rows += packer.flush(last=True)
-        if rows:
-            yield done()
+        with without_gc():
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                for a, z, texts in chunks(batch, size=1 << 20):
+                    for doc_id, words in zip(ids[a:z], bpe.split(texts)):
+                        rows += packer.add(doc_id, bpe.encode(words) + end)
+                    waiting += z - a
+                    if waiting >= BLOCK:
+                        rows += packer.flush()
+                        waiting = 0
+                    if len(rows) > 5000:
+                        yield done()
+            rows += packer.flush(last=True)
+            if rows:
+                yield done()
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, _DDL)
