@@ -151,14 +151,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, all columns kept."""
-    result = materialize(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
-    kept, dropped = result.filter("kept"), result.filter(~F.col("kept"))
-    twice = materialize(dropped.join(kept.select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi").select("doc_id").distinct())
-    gone = materialize(dropped.join(twice, dropped["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").select(F.col("doc_id").alias("_gone")))
-    rest = docs.join(small_side(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows that exact_dedup drops, all columns kept.
+
+    Rows go by id and text together, so neither null ids nor an id on several texts takes another text with it.
+    """
+    result = materialize(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("sha")))
+    kept = result.filter("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
+    dropped = result.filter(~F.col("kept")).select("doc_id", "sha").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    gone = materialize(dropped.join(kept, same, "left_anti").toDF("_id", "_sha"))
+    twice = materialize(dropped.join(kept, same, "left_semi").toDF("_id", "_sha"))
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    here = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    rest = docs.join(small_side(gone, GROUPS), here, "left_anti")
     if not twice.isEmpty():  # rows that repeat another with its id
-        again = twice.select(F.col("doc_id").alias("_twice"))
-        one = F.col(id_col) == F.col("_twice")
-        rest = rest.join(again, one, "left_anti").unionByName(rest.join(again, one, "left_semi").dropDuplicates([id_col, text_col]))
+        twice = small_side(twice, GROUPS)
+        again = rest.join(twice, here, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+        rest = rest.join(twice, here, "left_anti").unionByName(again)
     return rest

@@ -24,10 +24,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of near duplicates: the least id."""
-    groups = near_groups(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    gone = small_side(materialize(groups.distinct()))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Keeps one of each group of near duplicates: the least id, a null one only where there is no other.
+
+    Rows are known by their text's hash, as no two of them have equal texts here; ids may be null or repeat.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = near_groups(docs.select(key.alias("key"), "text"), id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("root"))
+    others = materialize(groups.filter("key <> root").distinct())
+    members = materialize(others.union(others.select("root", "root").distinct()))
+    ids = docs.select("doc_id", key.alias("key")).join(small_side(members), "key")
+    best = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    gone = materialize(members.join(best, "root").filter("key <> best.key").select(F.col("key").alias("_gone")))
+    return docs.join(small_side(gone), key == F.col("_gone"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,23 @@ def test_exact_dedup(docs, plain, none, spark):
     assert left.columns[-2:] == ["kept", "fp"] and left.count() == len(groups)
 
 
+def test_rows_go_by_id_and_text(spark):
+    rows = [(None, "a"), (None, "a"), (None, "unique"), (None, None), (None, ""), (5, "b"), (9, "b"), (5, "only here"), (7, "c"), (7, "c"), (7, "d"), (None, "c")]
+    left = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "a"), (0, "unique"), (5, "only here"), (7, "c"), (7, "d"), (9, "b")]
+
+
+def test_near_rows_go_by_text(spark):
+    import corpus_pipeline
+
+    one, two, three = (prose(60, k) + f" own{k}" for k in (31, 32, 33))
+    rows = [(None, one), (None, one + " end"), (None, "alone"), (None, None), (4, two), (4, "another"), (3, two + " end"), (3, "third"), (None, three), (8, three + " end")]
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    kept = collections.Counter((r.doc_id, r.text) for r in left)
+    assert kept.pop((None, one), 0) + kept.pop((None, one + " end"), 0) == 1
+    assert kept == collections.Counter([(None, "alone"), (None, None), (4, "another"), (3, two + " end"), (3, "third"), (8, three + " end")])
+
+
 def test_a_hot_text(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = exact_dedup.exact_dedup(rows)
