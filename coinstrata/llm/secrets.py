@@ -3,9 +3,10 @@
 Under the hypothesis that a token is random in its inferred encoding (hex, base32, base36, base62 or base64) three tests
 give p-values: chi-squared of character classes, the number of runs about the median sign, and serial correlation of
 neighbours, combined by Fisher's method.  Random tokens have uniform p-values, words have small ones.  For each band of
-lengths a histogram of all p-values of the corpus tells how many tokens are random (twice those above one half) and so
-how many of those above a threshold are not; the band's threshold is the least with a share of at most FALSE_SHARE.
-The histogram is a few hundred numbers; the text is read twice and never shuffled.
+lengths a histogram of the p-values of the corpus's distinct tokens tells how many are random (twice those above one half)
+and so how many of those above a threshold are not; the band's threshold is the least with a share of at most FALSE_SHARE
+and holds for all their occurrences.  A task sends each distinct token once, as a hash; the histogram is a few hundred
+numbers; the text is read twice and never shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BANDS = (20, 24, 32, 48, 80, 160)
 BINS = 50
 #: Share of tokens called random that may be none.
 FALSE_SHARE = 0.05
+#: Distinct tokens that a task holds before it sends them.
+SENT = 100_000
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -125,18 +128,30 @@ def scan(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], list[
 
 
 def thresholds(docs: DataFrame) -> list[float]:
-    """The least p-value of each band that makes a token a secret, from all rows of docs (doc_id, text)."""
+    """The least p-value of each band that makes a token a secret, from all rows of docs (doc_id, text).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    A token counts once however often it stands, so copies of one don't move its band's threshold.
+    """
+
+    def sent(seen: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
+        band, place = zip(*seen.values())
+        return pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.binary()), "band": pa.array(band, pa.int32()), "bin": pa.array(place, pa.int32())})
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for _, _, texts in chunks(batch):
-                seen.update((b, min(BINS - 1, int(p * BINS))) for _, found in scan(texts) for _, _, b, p in found)
+                for text, (_, found) in zip(texts, scan(texts)):
+                    seen.update((hashlib.blake2b(text[s:e], digest_size=16).digest(), (b, min(BINS - 1, int(p * BINS)))) for s, e, b, p in found)
+                if len(seen) > SENT:
+                    yield sent(seen)
+                    seen = {}
         if seen:
-            yield pa.RecordBatch.from_pydict({"band": pa.array([b for b, _ in seen], pa.int32()), "bin": pa.array([k for _, k in seen], pa.int32()), "n": pa.array(list(seen.values()), pa.int64())})
+            yield sent(seen)
 
+    tokens = docs.select("text").mapInArrow(distinct, "token binary, band int, bin int").distinct()
     counts = np.zeros((len(BANDS), BINS))
-    for r in docs.select("text").mapInArrow(count, "band int, bin int, n long").groupBy("band", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.groupBy("band", "bin").agg(F.count("*").alias("n")).collect():
         counts[r["band"], r["bin"]] = r["n"]
     return [threshold(c) for c in counts]
 

@@ -503,6 +503,17 @@ def test_secrets(spark, none):
     assert kept[1].text is None and all(r.n_chars == len(r.text) for r in kept.values() if r.text is not None)
 
 
+def test_copies_of_a_token_count_once(spark):
+    r = random.Random(5)
+    tokens = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(400)]
+    hot = min(tokens, key=lambda t: abs(secrets.randomness(t) - 0.3))
+    rows = [f"a {t} b" for t in tokens]
+    docs, copies = (spark.createDataFrame([(i, t) for i, t in enumerate(x)], "doc_id long, text string").repartition(3) for x in (rows, rows + [f"a {hot} b"] * 4000))
+    least = secrets.thresholds(docs)
+    assert least[secrets.band_of(40)] < 0.2 and secrets.thresholds(copies) == least
+    assert secrets.find_secrets(copies).filter("doc_id >= 400 AND n_random = 1").count() == 4000
+
+
 def test_randomness():
     r = random.Random(1)
     p = [secrets.randomness("".join(r.choice("0123456789abcdef") for _ in range(40))) for _ in range(300)]
