@@ -68,7 +68,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     if n_blocked < least:
         return empty
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_blocked)).fit(blocked.select(F.array_except("items", F.array(F.lit(_BLOCK))).alias("items")).filter("size(items) > 0")).freqItemsets
-    sets = materialize(sets.filter(F.size("items") <= 3).select(F.array_sort("items").alias("items"), "freq"))
+    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq"))
     # confidence: urls with these tokens at all, found by the rarest token among them
     each = materialize(rows.select(F.explode("items").alias("t")).join(small_side(materialize(sets.select(F.explode("items").alias("t")).distinct())), "t").groupBy("t").agg(F.count("*").alias("n")))
     anchored = sets.select("items", "freq", F.explode("items").alias("t")).join(each, "t").groupBy("items", "freq").agg(F.min_by("t", F.struct("n", "t")).alias("anchor"))

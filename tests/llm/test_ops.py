@@ -339,6 +339,20 @@ def test_url_rules_from_labels(spark):
     assert got.filter("verdict = 'block'").count() == 9 and got.filter("mined IS NOT NULL AND confidence < 0.9").count() == 0
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Only all four tokens together tell the blocked urls; each three of them stand in as many allowed ones."""
+    parts = [("shop", "plain"), ("net", "info"), ("en", "fr"), ("deal", "news")]
+    rows = [(None, "block")] * 20 + [(k, "allow") for k in range(4) for _ in range(20)]
+    pages, labels = [], []
+    for i, (missing, label) in enumerate(rows):
+        a, b, c, d = (p[k == missing] for k, p in enumerate(parts))
+        pages.append((i, f"http://{a}.{b}/{c}/{d}/{i}"))
+        labels.append((i, label))
+    got = url_rules.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, label string"), rules=(("allow", "org/"),))
+    assert {r.page_id: r.verdict for r in got.collect()} == dict(labels)
+    assert got.filter("mined = 'h:net+h:shop+p:deal+p:en'").count() == 20
+
+
 # --- op6 and op8
 
 
