@@ -122,6 +122,15 @@ def test_tree_is_a_distribution(docs):
         assert abs(tree.chance(codes, np.full(256, min(len(context), 4))).sum() - 1) < 1e-9
 
 
+def test_tree_keeps_rare_contexts(spark):
+    """What the tree knows of a word doesn't depend on how much else there is."""
+    rows = [(0, "aaaa bbbb " * 300_000), (1, "zqxj zqxj zqxj")]
+    tree = suffix_tree.learn(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)))
+    assert all((b | 1 << 40) in tree.contexts[1].tolist() for b in b"zqx")
+    code = np.array([int.from_bytes(b" zqxj", "big")], np.uint64)
+    assert tree.chance(code, np.array([4]))[0] > 0.5
+
+
 # --- op2
 
 
