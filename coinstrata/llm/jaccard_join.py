@@ -369,7 +369,10 @@ def _tiles(open_rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes (s1 of sets) that join all classes of a component; docs has doc_id and text."""
+    """Links (a, b) between classes (s1 of sets) that join all classes of a component; docs has doc_id and text.
+
+    Only enough links to connect: pairs already within a component are not looked at, so these are not all links.
+    """
     spark = docs.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = docs.select("text").mapInArrow(_deal(owners), "owner int, gaps binary, wide boolean, at binary, nodes binary")
