@@ -6,8 +6,10 @@ Hashes are 64 bits wide; a word's hash is a polynomial over random byte values,
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,42 @@ CHUNK = 1 << 18
 SHINGLE = 5
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns it without lineage."""
+def materialize(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Writes df to the shared checkpoint folder and returns it without lineage.
+
+    tasks: no more partitions than these, for what is known to be little whatever the number of shuffle partitions.
+    Without spark.checkpoint.dir a local session gets a folder of its own; a cluster raises, as executors share no disk.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return (df if tasks is None else df.coalesce(tasks)).checkpoint(eager=True)
 
 
-def tasks_for(df: DataFrame) -> int:
-    """Partitions that a shuffle of this size of input should have."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def give_back() -> None:
+    """Returns freed memory to the system; an idle worker would keep it beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over a task's batches, that gives memory back when it ends."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    over.__name__ = run.__name__
+    return over
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,17 +105,23 @@ SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
 _PLACES = mix(np.arange(1001, 1001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, CHUNK + CHUNK // 4)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+    """Powers of _BASE and of its inverse; those of a usual chunk are kept, those of a longer text are not."""
+
+    def powers(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    usual = CHUNK + CHUNK // 4
+    if n > usual:
+        return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+    if not _powers:
+        _powers.append((powers(_BASE, usual), powers(pow(_BASE, -1, 1 << 64), usual)))
+    return _powers[0]
 
 
 class Words:
@@ -137,10 +168,5 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def by_owner(rows: DataFrame, owners: int, key: str = "owner") -> DataFrame:
-    """rows dealt so that each owner has a partition of its own."""
-    return rows.repartitionById(owners, F.col(key).cast("int"))
-
-
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinstrata.llm._common import materialize
+from coinstrata.llm._common import materialize, task
 
+#: Links of a task in the rounds.
+TASK_LINKS = 100_000
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -50,7 +52,8 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones (small star) on their least.  The rounds grow as the logarithm of the longest path.
     """
     ends = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    edges = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(_local, "a long, b long"))
+    edges = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(task(_local), "a long, b long"))
+    tasks = edges.count() // TASK_LINKS + 1  # no round has more links than this one
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -58,10 +61,10 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
-        new = materialize(small.select("e.a", "e.b").filter("a <> b").distinct())
+        new = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), tasks)
         # done when every node hangs on one root and no root hangs on another
         heads = new.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a"))
         deep = heads.filter("n > 1").select("b").union(new.select(F.col("a").alias("b")).distinct().join(new.select("b").distinct(), "b", "left_semi"))
         if deep.isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        edges = materialize(new.mapInArrow(_local, "a long, b long"))
+        edges = materialize(new.mapInArrow(task(_local), "a long, b long"), tasks)

@@ -7,8 +7,8 @@ hashes in one order, the first |A| - t + k of A and of B share k at least.
    cost one row each from here on.
 2. Sieve: senders deal the first 0.2 |A| + 0.1 |A| hashes of each class, as sorted and gap-coded blocks, to owners of hash
    ranges, who count for each class those that some other class holds too.  Classes with fewer than 0.1 |A| can't link.
-3. Entries: the hashes of what is left are dealt to owners once more, whole, and counted.  In the order of their counts,
-   rare ones first, the first |A| - t + 1 of a class index it; those that no other class holds take part in the order
+3. Entries: blocks of what is left ask owners of ranges how many classes hold each hash; an owner sends one reply a block,
+   and owners follow the number of hashes.  In the order of these counts, rare ones first, the first |A| - t + 1 of a class index it; those that no other class holds take part in the order
    but need no bucket, so a class with a fifth of its own hashes has none.
 4. Stars: the class of a bucket with the fewest hashes of its own, which is near the middle of its copies, is compared with
    all of it, in two rounds (two ways to break ties), which is linear, and links found make components.
@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinstrata.llm._common import chunks, materialize, mix, shingle_sets, small_side, text_rows
+from coinstrata.llm._common import chunks, give_back, materialize, mix, shingle_sets, small_side, task, text_rows
 from coinstrata.llm.components import components
 
 #: Percent of the union that the intersection must reach.
@@ -174,72 +175,87 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema=_CLASSES)
 
 
-_NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("bits", pa.binary()), ("entries", pa.list_(pa.int64()))])
-_WHOLE = pa.schema([("owner", pa.int32()), ("h", pa.binary()), ("at", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-
-
-def _deal_whole(owners: int):
-    """All hashes of the classes, as blocks for owners of ranges."""
-
-    def block(hashes: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        h, at = np.concatenate(hashes), np.repeat(np.arange(len(hashes), dtype=np.uint32), [len(x) for x in hashes])
-        owner = (h >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)
-        order = np.argsort(owner, kind="stable")
-        h, at, cuts = h[order], at[order], np.searchsorted(owner[order], np.arange(owners + 1))
-        ids, sizes = np.array(nodes, dtype=np.int64).tobytes(), np.array([len(x) for x in hashes], dtype=np.int64).tobytes()
-        return pa.RecordBatch.from_pylist([{"owner": o, "h": h[a:z].tobytes(), "at": at[a:z].tobytes(), "nodes": ids, "sizes": sizes} for o, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a], schema=_WHOLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, nodes, size = [], [], 0
-        for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
-                hashes.append(np.frombuffer(raw, np.uint64))
-                nodes.append(node)
-                size += len(hashes[-1])
-                if size >= GATHER:
-                    yield block(hashes, nodes)
-                    hashes, nodes, size = [], [], 0
-        if hashes:
-            yield block(hashes, nodes)
-
-    return run
-
-
-_COUNTED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("k", pa.binary())])
-
+#: Hashes that one owner of a range counts.
+OWNER_HASHES = 500_000
 
-def _frequencies(blocks: pa.Table) -> pa.Table:
-    """For each class its hashes in this range that another class holds, with how many hold them."""
-    hashes, nodes, sizes = [], [], []
-    for r in blocks.to_pylist():
-        at = np.frombuffer(r["at"], np.uint32)
-        hashes.append(np.frombuffer(r["h"], np.uint64))
-        nodes.append(np.frombuffer(r["nodes"], np.int64)[at])
-        sizes.append(np.frombuffer(r["sizes"], np.int64)[at])
-    h, node, size = np.concatenate(hashes), np.concatenate(nodes), np.concatenate(sizes)
-    _, at, k = np.unique(h, return_inverse=True, return_counts=True)
-    k = k[at].astype(np.uint32)
-    order = np.flatnonzero(k > 1)
-    order = order[np.argsort(node[order], kind="stable")]
-    h, node, size, k = h[order], node[order], size[order], k[order]
-    cuts = np.flatnonzero(np.diff(node, prepend=node[:1] - 1)).tolist() + [len(node)] if len(node) else [0]
-    spans = list(zip(cuts[:-1], cuts[1:]))
-    return pa.table([pa.array([int(node[a]) for a, _ in spans], pa.int64()), pa.array([int(size[a]) for a, _ in spans], pa.int64()), pa.array([h[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([k[a:z].tobytes() for a, z in spans], pa.binary())], schema=_COUNTED)
+_NODES = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("bits", pa.binary()), ("entries", pa.list_(pa.int64()))])
+_ASKED = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("h", pa.binary())])
+_BLOCK_OF = pa.schema([("block", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("h", pa.binary())])
+_COUNTED = pa.schema([("block", pa.int64()), ("owner", pa.int32()), ("k", pa.binary())])
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class that may link its number of own hashes, the signature of the others, and its entries: the first
-    hashes in order of frequency that some other class holds.  Any partner has one of them among its own first ones."""
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """A task's classes in blocks of about GATHER hashes: number, nodes, hashes.  The same each time a task runs."""
+    number, hashes, nodes, size = TaskContext.get().partitionId() << 32, [], [], 0
     for batch in batches:
-        out = []
-        for node, n, parts in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "parts"))):
-            h, k = np.concatenate([np.frombuffer(p["h"], np.uint64) for p in parts]), np.concatenate([np.frombuffer(p["k"], np.uint32) for p in parts])
-            own = n - len(h)
-            first = n - needed(n) + 1 - own
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist()):
+            hashes.append(np.frombuffer(raw, np.uint64))
+            nodes.append(node)
+            size += len(hashes[-1])
+            if size >= GATHER:
+                yield number, nodes, hashes
+                number, hashes, nodes, size = number + 1, [], [], 0
+    if hashes:
+        yield number, nodes, hashes
+
+
+def _by_owner(h: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by owner, and where each owner's begin in it."""
+    owner = (h >> np.uint64(40)) * np.uint64(owners) >> np.uint64(24)
+    order = np.argsort(owner, kind="stable")
+    return order, np.searchsorted(owner[order], np.arange(owners + 1))
+
+
+def _ask(owners: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of each block, for the owners of ranges."""
+        for number, _, hashes in _blocks_of(batches):
+            h = np.concatenate(hashes)
+            order, cuts = _by_owner(h, owners)
+            h = h[order]
+            rows = [{"owner": o, "block": number, "h": h[a:z].tobytes()} for o, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ASKED)
+
+    return ask
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block with its classes, for itself."""
+    for number, nodes, hashes in _blocks_of(batches):
+        row = {"block": number, "nodes": np.array(nodes, np.int64).tobytes(), "sizes": np.array([len(x) for x in hashes], np.int64).tobytes(), "h": np.concatenate(hashes).tobytes()}
+        yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_OF)
+
+
+def _frequencies(asked: pa.Table) -> pa.Table:
+    """For each block's hashes of this range, in the block's order, how many classes hold each: one reply a block."""
+    parts = [np.frombuffer(h, np.uint64) for h in asked.column("h").to_pylist()]
+    _, at, k = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    k = k[at].astype(np.uint32)
+    cuts = np.cumsum([0, *map(len, parts)]).tolist()
+    return pa.table([asked.column("block"), asked.column("owner"), pa.array([k[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:])], pa.binary())], schema=_COUNTED)
+
+
+def _nodes(owners: int):
+    def nodes(own: pa.Table, replies: pa.Table) -> pa.Table:
+        """For each class of a block that may link its number of own hashes, the signature of the others, and its entries: the
+        first hashes in order of frequency that some other class holds.  Any partner has one of them among its own first ones."""
+        r = own.to_pylist()[0]
+        h, sizes = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["sizes"], np.int64)
+        order, _ = _by_owner(h, owners)
+        k = np.empty(len(h), np.uint32)
+        k[order] = np.concatenate([np.frombuffer(x["k"], np.uint32) for x in sorted(replies.to_pylist(), key=lambda x: x["owner"])])
+        out, at = [], 0
+        for node, n in zip(np.frombuffer(r["nodes"], np.int64).tolist(), sizes.tolist()):
+            on = np.flatnonzero(k[at : at + n] > 1) + at
+            at += n
+            own_hashes = n - len(on)
+            first = n - needed(n) + 1 - own_hashes
             if first > 0:
-                out.append((node, n, own, signature(h).tobytes(), h[np.lexsort((h, k))[:first]].view(np.int64)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _NODES.types)], schema=_NODES)
+                out.append((node, n, own_hashes, signature(h[on]).tobytes(), h[on][np.lexsort((h[on], k[on]))[:first]].view(np.int64)))
+        give_back()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _NODES.types)], schema=_NODES) if out else _NODES.empty_table()
+
+    return nodes
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -285,8 +301,8 @@ def _with(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
     """The pairs (a, b) that link."""
     if not bounded:
-        pairs = _with(pairs, nodes, ["n", "own", "bits"]).mapInArrow(_bound, "a long, b long")
-    return _with(pairs, classes, ["hashes"]).mapInArrow(_intersect, "a long, b long")
+        pairs = _with(pairs, nodes, ["n", "own", "bits"]).mapInArrow(task(_bound), "a long, b long")
+    return _with(pairs, classes, ["hashes"]).mapInArrow(task(_intersect), "a long, b long")
 
 
 def _compatible(x: str, y: str) -> F.Column:
@@ -357,15 +373,30 @@ def _tiles(open_rows: DataFrame) -> DataFrame:
     """open_rows (h, node, root, n, own, k) dealt to the tiles of their bucket: band and block by block.
 
     A band holds sizes within a factor of 1.25, so partners are of one band or of neighbouring ones.  A block of a band is
-    a share of its nodes by their (random) number, as many as the bucket's rows need.
+    a share of its nodes by their (random) number, as many as the bucket's rows need.  Tiles whose rows are all of one
+    component are left out before any row is copied to them.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK)).cast("long")
-    rows = open_rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / LEVEL) + 1e-9).cast("long")).withColumn("blocks", blocks).withColumn("block", F.pmod("node", "blocks"))
-    # own band: block pairs (i <= j); next band: all block pairs, this side left
-    one = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("lo"), F.lit(0).alias("up"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 0).when(F.col("block") < j, 1).otherwise(2).alias("side")))
-    lower = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("lo"), F.lit(1).alias("up"), F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side")))
-    upper = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct((F.col("band") - 1).alias("lo"), F.lit(1).alias("up"), i.alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))
-    return rows.select("h", "node", "root", "n", "own", F.explode(F.concat(one, lower, upper)).alias("t")).select("h", "node", "root", "n", "own", "t.*")
+    rows = open_rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / LEVEL) + 1e-9).cast("long")).withColumn("block", F.pmod("node", blocks))
+    cells = rows.groupBy("h", "band", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    # all cells of a band and of the next one, in one array for each cell: a bucket has few cells, as each is a block of rows
+    shown = F.struct("block", "low", "high")
+    bands = cells.groupBy("h", "band").agg(F.collect_list(shown).alias("cells"))
+    upper = bands.select("h", (F.col("band") - 1).alias("band"), F.col("cells").alias("above"))
+    both = bands.join(upper, ["h", "band"], "left")
+
+    def tiles_of(cell, others, up):
+        mixed = F.filter(others, lambda o: F.least(cell["low"], o["low"]) != F.greatest(cell["high"], o["high"]))
+        return F.transform(mixed, lambda o: F.struct(F.lit(up).alias("up"), cell["block"].alias("i"), o["block"].alias("j")))
+
+    own = F.flatten(F.transform("cells", lambda c: tiles_of(c, F.filter("cells", lambda o: o["block"] >= c["block"]), 0)))
+    next_up = F.flatten(F.transform("cells", lambda c: tiles_of(c, F.coalesce("above", F.array().cast("array<struct<block:bigint,low:bigint,high:bigint>>")), 1)))
+    tiles = both.select("h", F.col("band").alias("lo"), F.explode(F.concat(own, next_up)).alias("t")).select("h", "lo", "t.*")
+    # each tile's one or two cells: side 0 both, 1 left, 2 right
+    left = F.struct(F.col("lo").alias("band"), F.col("i").alias("block"), F.when((F.col("up") == 0) & (F.col("i") == F.col("j")), 0).otherwise(1).alias("side"))
+    right = F.struct((F.col("lo") + F.col("up")).alias("band"), F.col("j").alias("block"), F.lit(2).alias("side"))
+    sides = tiles.select("*", F.explode(F.filter(F.array(left, right), lambda c: (c["side"] < 2) | (F.col("up") == 1) | (F.col("i") != F.col("j")))).alias("c")).select("h", "lo", "up", "i", "j", "c.*")
+    return rows.join(sides, ["h", "band", "block"]).select("h", "node", "root", "n", "own", "lo", "up", "i", "j", "side")
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -375,29 +406,30 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select("text").mapInArrow(_deal(owners), "owner int, gaps binary, wide boolean, at binary, nodes binary")
+    blocks = docs.select("text").mapInArrow(task(_deal(owners)), "owner int, gaps binary, wide boolean, at binary, nodes binary")
     shared = blocks.groupBy("owner").applyInArrow(_count_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     reps = sets.filter("n > 0").groupBy(F.col("s1").alias("node"), "n").agg(F.min("doc_id").alias("_rep"))
-    left = materialize(reps.join(shared.filter("shared > 0"), "node").filter("shared > floor(n / 10)").select("_rep", "node"))
+    left = materialize(reps.join(shared.filter("shared > 0"), "node").filter("shared > floor(n / 10)").select("_rep", "node", "n"))
+    total = left.agg(F.sum("n")).first()[0] or 0
+    tasks = -(-total // GATHER) + 1  # what is left may be little; it needs no more tasks than it has blocks
     chosen = small_side(left.select("_rep").distinct())
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    arrays = texts.select("text").mapInArrow(_arrays, "node long, n long, hashes binary")
-    classes = materialize(arrays.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    few = -(-owners // 2)
-    counted = classes.select("node", "hashes").mapInArrow(_deal_whole(few), "owner int, h binary, at binary, nodes binary, sizes binary").groupBy("owner").applyInArrow(_frequencies, "node long, n long, h binary, k binary")
-    nodes = materialize(counted.groupBy("node", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts")).mapInArrow(_nodes, "node long, n long, own long, bits binary, entries array<long>"))
+    arrays = texts.select("text").mapInArrow(task(_arrays), "node long, n long, hashes binary")
+    classes = materialize(arrays.join(left.select("node"), "node", "left_semi").dropDuplicates(["node"]), tasks)
+    few = -(-total // OWNER_HASHES) + 1
+    replies = classes.select("node", "hashes").mapInArrow(task(_ask(few)), "owner int, block long, h binary").groupBy("owner").applyInArrow(_frequencies, "block long, owner int, k binary")
+    own = classes.select("node", "hashes").mapInArrow(task(_block_rows), "block long, nodes binary, sizes binary, h binary")
+    nodes = materialize(own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_nodes(few), "node long, n long, own long, bits binary, entries array<long>"), tasks)
     entries = nodes.select(F.explode("entries").alias("h"), "node", "n", "own")
-    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes))
+    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes), tasks)
     pairs = _stars(entries, -F.col("node")).join(found, ["a", "b"], "left_anti")
-    found = materialize(found.union(verified(pairs, nodes, classes)))
+    found = materialize(found.union(verified(pairs, nodes, classes)), tasks)
     roots = components(found)
-    labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")))
+    labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")), tasks)
     several = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("h", "k")
-    tiles = materialize(_tiles(labelled.join(several, "h")))
     tile = ["h", "lo", "up", "i", "j"]
-    mixed = tiles.groupBy(*tile).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").drop("x", "y")
-    rows = tiles.join(mixed, tile).join(nodes.select("node", "bits"), "node")
-    pairs = rows.repartition(owners, *tile).sortWithinPartitions(*tile).mapInArrow(_meet_all, "a long, b long").distinct()
+    rows = _tiles(materialize(labelled.join(several, "h"), tasks)).join(nodes.select("node", "bits"), "node")
+    pairs = rows.repartition(owners, *tile).sortWithinPartitions(*tile).mapInArrow(task(_meet_all), "a long, b long").distinct()
     return found.union(verified(pairs, nodes, classes, bounded=True))
 
 
@@ -410,7 +442,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     give no rows.
     """
     rows = text_rows(docs, id_col, text_col)
-    sets = materialize(rows.mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long"))
+    sets = materialize(rows.mapInArrow(task(_sets), "doc_id long, n long, s1 long, s2 long"))
     roots = components(links(rows, sets))
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("k"))
     rooted = materialize(classes.join(roots.withColumnRenamed("node", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1")))
