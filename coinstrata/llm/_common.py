@@ -116,7 +116,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
         steps[0] = 1
         return np.multiply.accumulate(steps)
 
-    usual = CHUNK + CHUNK // 4
+    usual = 12 * CHUNK
     if n > usual:
         return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
     if not _powers:
@@ -124,6 +124,14 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0]
 
 
+def hashes_of(signs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each stretch of bytes."""
+    up, down = _power_table(len(signs))
+    sums = np.zeros(len(signs) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[signs] * up[: len(signs)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Lower-cased words of several texts.  doc_from[i] to doc_from[i + 1] are the words of text i."""
 
@@ -138,10 +146,7 @@ class Words:
         self.doc_words = np.diff(self.doc_from)
 
     def hashes(self) -> np.ndarray:
-        up, down = _power_table(len(self.bytes))
-        sums = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[self.bytes] * up[: len(self.bytes)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return hashes_of(self.bytes, self.starts, self.ends)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_words)), self.doc_words)

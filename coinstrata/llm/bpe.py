@@ -1,11 +1,14 @@
 """BPE encoding and decoding with word ends, exact, by tree concatenation of long unsplit text.
 
-The vocabulary file is a parameter and read where the work is done.  Text is split at white space, each distinct chunk is
-encoded once and then looked up.  Chunks of ASCII and Latin-1 letters are split into pieces here; all others, and those
-that may hold special tokens, go to the tokenizers library.  Pieces of up to LEAF bytes are merged in numpy, all of a
-length at once.  A longer piece is a tree: its leaves are encoded together, then neighbours are joined; at a join a
-window that grows by a token on each side is encoded anew until it agrees with both sides.  Agreement is exact: a token
-sequence is the encoding of its bytes if and only if each pair of neighbours is the encoding of the pair's bytes.
+The vocabulary file is a parameter and read where the work is done.  Text is cut into units in numpy: at ASCII white space,
+and among ASCII and Latin-1 letters into letters, digits and marks, as the file's pattern does.  Distinct units are found by
+64-bit hashes, encoded once and then looked up.  Units with apostrophes are split into pieces here, those of other scripts by
+the file's own normalizer and pattern, between its special tokens.  Pieces of up to SHORT bytes are merged in numpy, all of a length at
+once.  A longer piece, of any script, is a tree: its leaves are encoded together, then neighbours are joined level by level.
+At a join a window that doubles is encoded anew until it agrees with both sides: a boundary of the window's tokens on the
+left that is one of the left's, and one on the right, where the tokens that meet are the encoding of their bytes.  Agreement
+is exact: a token sequence is the encoding of its bytes if and only if each pair of neighbours is the encoding of the pair's
+bytes.  A piece of n bytes takes some n log n steps even where no two sides agree, as in a long run of one sign.
 """
 
 from __future__ import annotations
@@ -21,17 +24,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coinstrata.llm._common import chunks, text_rows
-
-#: Bytes of a leaf.
-LEAF = 24
-#: Chunks that a task keeps encoded.
-CACHE = 300_000
+from coinstrata.llm._common import LOWER, SPACE, chunks, hashes_of, task, text_rows
+
+#: Bytes of a piece that is merged at once, and of a leaf of a longer one.
+SHORT = 24
+LEAF = 64
+#: Tokens on each side of the first window.
+WINDOW = 4
+#: Bytes of the units that a task keeps encoded, and what a unit takes beside its ids and its decoded text.
+CACHE = 80 << 20
+ENTRY = 180
+#: Bytes of text that are cut into units at once.
+PART = 1 << 20
+#: Pairs of tokens whose agreement a task keeps.
+PAIRS = 200_000
 
 _SIMPLE = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")  # no "<", which can begin a special token
+_STUB = re.compile("(?!)")
 # How the vocabulary's file splits text, for the characters of _SIMPLE in lower case.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_KIND = np.full(256, 4, dtype=np.uint8)  # white space, letter, digit, mark; 4: neither is sure without decoding
+_KIND[[*range(0x21, 0x7F)]] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[SPACE] = 0
+_KIND[[*b"'<"]] = 4
 _NONE = np.iinfo(np.int64).max
 
 
@@ -52,8 +69,12 @@ class WordBpe:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"]
+            spec = json.load(f)
+        self.path, model = path, spec["model"]
+        vocab, self.end = model["vocab"], model["end_of_word_suffix"]
+        end = self.end
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added, self.special = added, re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True))) if added else _STUB
         signs = _byte_signs()
         self.tokens = {i: t for t, i in vocab.items()}
         self.inner = np.array([vocab[s] for s in signs], dtype=np.int64)
@@ -65,15 +86,14 @@ class WordBpe:
         self.keys = np.append(keys[order], _NONE)
         values = np.array(list(self.rules.values()), dtype=np.int64).reshape(-1, 2)[order]
         self.ranks, self.merged = np.append(values[:, 0], _NONE), np.append(values[:, 1], 0)
-        byte = {s: b for b, s in enumerate(signs)}
-        self.spelled = {i: bytes(byte[c] for c in t.removesuffix(end)) for t, i in vocab.items()}
+        self.signs, self.byte = signs, {s: b for b, s in enumerate(signs)}
+        self.to_signs = dict(enumerate(signs))
         self.ends = {i for t, i in vocab.items() if t.endswith(end) and t != end}
-        self.decoded = decoded
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
-
-    def _symbols(self, piece: bytes) -> list[int]:
-        return [*self.inner[list(piece[:-1])].tolist(), int(self.last[piece[-1]])]
+        self.open_model = None  # the vocabulary without word ends, read when a long piece comes
+        self.agreed: dict[tuple[int, int], bool] = {}
+        self.decoded, self.kept = decoded, 0
+        self.ids: dict[int, bytes] = {}
+        self.text: dict[int, bytes] = {}
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """The merges of a short run of symbols, lowest rank and leftmost first."""
@@ -112,31 +132,65 @@ class WordBpe:
         return out
 
     def _agree(self, a: int, b: int) -> bool:
-        return self._merge(self._split(a) + self._split(b)) == [a, b]
+        """Whether two tokens are the encoding of their bytes."""
+        if (a, b) not in self.agreed:
+            if len(self.agreed) >= PAIRS:
+                self.agreed.clear()
+            self.agreed[a, b] = self._merge(self._split(a) + self._split(b)) == [a, b]
+        return self.agreed[a, b]
+
+    def _spelled(self, token: int) -> str:
+        """The signs of a token's bytes."""
+        return self.tokens[token].removesuffix(self.end) if token in self.ends else self.tokens[token]
 
     def _split(self, token: int) -> list[int]:
-        spelled = self.spelled[token]
-        return self._symbols(spelled) if token in self.ends else self.inner[list(spelled)].tolist()
+        spelled = [self.byte[c] for c in self._spelled(token)]
+        ids = self.inner[spelled].tolist()
+        return [*ids[:-1], int(self.last[spelled[-1]])] if token in self.ends else ids
+
+    def _encode_signs(self, signs: list[str], last: bool) -> list[list[int]]:
+        """The tokens of stretches of a piece; last: the last stretch ends the piece."""
+        if self.open_model is None:
+            from tokenizers import Tokenizer
+
+            with open(self.path, encoding="utf-8") as f:
+                spec = json.load(f)
+            spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+            spec["model"]["end_of_word_suffix"] = None
+            self.open_model = Tokenizer.from_str(json.dumps(spec))
+        inner = signs[:-1] if last else signs
+        out = [x.ids for x in self.open_model.encode_batch(inner, add_special_tokens=False)] if len(inner) > 1 else [[t.id for t in self.open_model.model.tokenize(x)] for x in inner]
+        return [*out, [t.id for t in self.library.model.tokenize(signs[-1])]] if last else out
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbouring stretches of one piece, given the encoding of each."""
         if not left or not right or self._agree(left[-1], right[0]):
             return left + right
-        k = 1
+        k = WINDOW
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self._merge([s for t in left[a:] + right[:b] for s in self._split(t)])
-            if (a == 0 or self._agree(left[a - 1], window[0])) and (b == len(right) or self._agree(window[-1], right[b])):
-                return left[:a] + window + right[b:]
-            k += 1
+            old = left[a:] + right[:b]
+            spelled = [self._spelled(t) for t in old]
+            (new,) = self._encode_signs(["".join(spelled)], b == len(right) and right[-1] in self.ends)
+            begins = np.cumsum([0, *map(len, spelled)])  # of the old tokens and, at the end, their sum
+            starts = np.cumsum([0, *(len(self._spelled(t)) for t in new)])
+            first = self._meet(begins[: len(left) - a], starts, lambda i, j: a + i == 0 or self._agree(old[i - 1] if i else left[a - 1], new[j]))
+            ends, stops = begins[-1] - begins[len(left) - a + 1 :][::-1], starts[-1] - starts[::-1]
+            last = self._meet(ends, stops, lambda i, j: (b == len(right) and i == 0) or self._agree(new[len(new) - j - 1], right[b - i]))
+            if first and last:
+                return left[: a + first[0]] + new[first[1] : len(new) - last[1]] + right[b - last[0] :]
+            k *= 2
+
+    @staticmethod
+    def _meet(old: np.ndarray, new: np.ndarray, fits: Callable[[int, int], bool]) -> tuple[int, int] | None:
+        """Which boundaries of old and new tokens, counted from a window's edge, are in one place where the tokens fit."""
+        _, i, j = np.intersect1d(old, new[:-1], assume_unique=True, return_indices=True)
+        return next(((x, y) for x, y in zip(i.tolist(), j.tolist()) if fits(x, y)), None)
 
     def long_piece(self, piece: bytes) -> bytes:
         """The encoding of a piece by tree concatenation."""
-        symbols = np.array(self._symbols(piece), dtype=np.int64)
-        full = len(symbols) // LEAF
-        level = [np.frombuffer(x, "<u4").tolist() for x in self._merge_all(symbols[: full * LEAF].reshape(full, LEAF))] if full else []
-        if full * LEAF < len(symbols):
-            level.append(self._merge(symbols[full * LEAF :].tolist()))
+        signs = piece.decode("latin-1").translate(self.to_signs)
+        level = self._encode_signs([signs[a : a + LEAF] for a in range(0, len(signs), LEAF)], True)
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return np.array(level[0], dtype="<u4").tobytes()
@@ -147,7 +201,7 @@ class WordBpe:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for n in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == n).tolist()
-            if n > LEAF:
+            if n > SHORT:
                 for r in rows:
                     out[r] = self.long_piece(pieces[r])
                 continue
@@ -158,60 +212,97 @@ class WordBpe:
                 out[r] = ids
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes chunks that are not kept yet."""
-        simple, split = [], []
-        for w in new:
-            if w.isascii() and w.isalpha():
-                simple.append(w)
-                split.append([w.lower()])
-            elif w[-1] in ",." and w.isascii() and w[:-1].isalpha():
-                simple.append(w)
-                split.append([w[:-1].lower(), w[-1]])
-            elif _SIMPLE.fullmatch(w):
-                simple.append(w)
-                split.append(_PIECES.findall(w.lower()))
+    def _parts(self, w: str) -> list[bytes | int]:
+        """The pieces of a chunk as bytes, and ids of special tokens between them, by the file's own rules."""
+        out: list[bytes | int] = []
+        for text in filter(None, self.special.split(w)):
+            if text in self.added:
+                out.append(self.added[text])
             else:
-                self._keep(w, np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        distinct = list({p for parts in split for p in parts})
-        done = dict(zip(distinct, self.pieces([p.encode() for p in distinct])))
-        for w, parts in zip(simple, split):
-            self._keep(w, done[parts[0]] if len(parts) == 1 else b"".join([done[p] for p in parts]))
-
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        self.ids[chunk] = ids
-        if self.decoded:
-            self.text[chunk] = self.decode(np.frombuffer(ids, "<u4").tolist())
+                normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+                out += [bytes(map(self.byte.__getitem__, p)) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return out
+
+    def learn(self, new: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of units; a plain one is a piece."""
+        split: list[list[bytes | int] | None] = []
+        for u, whole in zip(new, plain):
+            if whole:
+                split.append(None)
+            elif _SIMPLE.fullmatch(w := u.decode("utf-8")):
+                split.append([p.encode() for p in _PIECES.findall(w.lower())])
+            else:
+                split.append(self._parts(w))
+        distinct = list({p for u, parts in zip(new, split) for p in ((u,) if parts is None else parts) if isinstance(p, bytes)})
+        done = dict(zip(distinct, self.pieces(distinct)))
+        return [done[u] if parts is None else b"".join([done[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in parts]) for u, parts in zip(new, split)]
 
     def decode(self, ids: list[int]) -> bytes:
         """Tokens with a space between them, as the library does for a vocabulary without a decoder."""
         return " ".join([self.tokens[i] if i in self.tokens else self.library.id_to_token(i) for i in ids]).encode()
 
-    def split(self, texts: list[bytes]) -> list[list[str]]:
-        """White-space chunks of each text, all of which are then kept."""
-        if len(self.ids) > CACHE:
+    @staticmethod
+    def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The units of texts: their bytes (lower-cased where plain), begins, ends, whether plain, hashes, and where each
+        text's begin."""
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        kind, lower = _KIND[raw], LOWER[raw]
+        lead = np.flatnonzero(raw == 0xC3)  # with a byte from 80 to BF, Latin-1 letters but for two signs
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        lower[lead + 1] += np.where(raw[lead + 1] < 0x9F, 0x20, 0).astype(np.uint8)
+        solid = kind > 0
+        edges = np.diff(solid.view(np.int8), prepend=np.int8(0))
+        a, z = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        odd = np.concatenate([[0], np.cumsum(kind == 4)])
+        whole = odd[z] > odd[a]  # chunks that are units
+        turn = np.zeros(len(raw) + 1, dtype=np.int8)
+        turn[a[whole]] += 1
+        turn[z[whole]] -= 1
+        inside = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
+        first = np.empty(len(raw), dtype=bool)
+        first[0] = True
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        first &= solid & ~inside
+        first[a] = True
+        begins = np.flatnonzero(first)
+        ends = np.append(begins[1:], len(raw))
+        stop = np.searchsorted(z, begins, side="right")
+        ends = np.minimum(ends, z[np.minimum(stop, len(z) - 1)]) if len(z) else ends
+        signs = np.where(inside, raw, lower)
+        text_from = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        return signs, begins, ends, ~inside[begins], hashes_of(signs, begins, ends), np.searchsorted(begins, text_from)
+
+    def encoded(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids and, if asked for, decoded text of each text."""
+        if self.kept > CACHE:
             self.ids.clear()
             self.text.clear()
-        out = [self._chunks(x.decode("utf-8")) for x in texts]
-        new = {w for words in out for w in words}.difference(self.ids)
-        self.learn(list(new))
-        return out
-
-    @staticmethod
-    def _chunks(s: str) -> list[str]:
-        # str.split takes U+001C to U+001F for white space, which the vocabulary's pattern doesn't
-        return [w for w in re.split(r"[^\S\x1c-\x1f]+", s) if w] if _NOT_SPACE.search(s) else s.split()
-
-    def encode(self, words: list[str]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def decoded_text(self, words: list[str]) -> bytes:
-        return b" ".join(filter(None, map(self.text.__getitem__, words)))
+            self.kept = 0
+        signs, begins, ends, plain, hashes, doc_from = self.units(texts)
+        distinct, place, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        ids = list(map(self.ids.get, keys))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        on, flat = place[missing], signs.tobytes()
+        new = self.learn([flat[a:z] for a, z in zip(begins[on].tolist(), ends[on].tolist())], plain[on].tolist())
+        for i, x in zip(missing, new):
+            ids[i] = self.ids[keys[i]] = x
+        self.kept += ENTRY * len(new) + sum(map(len, new))
+        if self.decoded:
+            for i, x in zip(missing, new):
+                self.text[keys[i]] = text = self.decode(np.frombuffer(x, "<u4").tolist()) + b" " if x else b""
+                self.kept += 100 + len(text)
+            said = list(map(self.text.__getitem__, keys))
+        which, cuts = which.tolist(), doc_from.tolist()
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            mine = which[a:z]
+            yield b"".join([ids[i] for i in mine]), b"".join([said[i] for i in mine])[:-1] if self.decoded else b""
 
 
 @contextmanager
 def without_gc() -> Iterator[None]:
-    """No search for cycles while chunks, many small objects without any, are kept; a worker that goes on to other tasks
+    """No search for cycles while units, many small objects without any, are kept; a worker that goes on to other tasks
     searches again."""
     gc.disable()
     try:
@@ -237,18 +328,19 @@ def map_encoded(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, row: Ca
         with without_gc():
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                for a, z, texts in chunks(batch, size=1 << 20):
-                    rows = [row(i, bpe.encode(w), bpe.decoded_text(w) if decoded else b"") for i, w in zip(ids[a:z], bpe.split(texts))]
+                for a, z, texts in chunks(batch, size=PART):
+                    rows = [row(i, *both) for i, both in zip(ids[a:z], bpe.encoded(texts))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(task(run), ddl)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded for each row of docs.
 
-    A null or empty text has no ids and decodes to an empty text; ids may repeat or be null; other columns are not read.
-    Chunks of text are encoded once a task, so the cost of a repeated word is that of a lookup.
+    A null or empty text has no ids and decodes to an empty text; ids may repeat or be null; other columns are not read; no
+    rows give no rows.  A text of any length and script takes some n log n steps, unsplit or not.
+    Units of text are encoded once a task, so the cost of a repeated word is that of a lookup.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
     return map_encoded(text_rows(docs, id_col, text_col), path or default_path(), schema, "doc_id long, ids binary, decoded string", lambda i, ids, text: (i, ids, text.decode()), decoded=True)
