@@ -5,7 +5,12 @@ holds it.  Tiers are packed from long to short: a window opens with its longest
 longest shorter ones that fit, taken from the tiers below; what is then still open is filled by cutting one document.  So
 every window of a tier, a power of two, is full.  A task packs its documents in blocks and hands what fills no window on
 to its next block; only its last few tokens, fewer than the shortest tier, are padded.  No row leaves its task, so there
-is no shuffle.  Step groups hold sequences of one tier with the same number of tokens in all.
+is no shuffle.
+
+Step groups: every STEPS groups' worth of windows is dealt to that many groups, the longest first and each to the group with
+the fewest tokens.  All sizes are powers of two, so groups hold equally many tokens and, within one, equally many windows of
+each tier: a step's work, that of attention included, is the same for all.  A task's last groups hold what is left: all but
+equally many tokens, at least a group's unless the task has fewer.
 """
 
 from __future__ import annotations
@@ -13,13 +18,14 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heapreplace
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from coinstrata.llm._common import chunks, text_rows
-from coinstrata.llm.bpe import WordBpe, default_path, without_gc
+from coinstrata.llm._common import chunks, task, text_rows
+from coinstrata.llm.bpe import PART, WordBpe, default_path, without_gc
 
 #: Window lengths; powers of two.
 TIERS = (2048, 1024, 512, 256, 128, 64)
@@ -27,6 +33,8 @@ TIERS = (2048, 1024, 512, 256, 128, 64)
 END = 1
 #: Tokens of a step group.
 GROUP_TOKENS = 32 * 2048
+#: Groups that are balanced together.
+STEPS = 16
 #: Documents that are packed together.
 BLOCK = 2000
 
@@ -69,54 +77,94 @@ def pack(pool: list[Piece], tiers: tuple[int, ...], last: bool) -> Iterator[tupl
         pool.clear()
 
 
+class Steps:
+    """Deals one task's windows (tier, rows) to step groups."""
+
+    def __init__(self, first: int, tokens: int = GROUP_TOKENS, steps: int = STEPS):
+        self.next, self.tokens, self.steps = first, tokens, steps
+        self.waiting: list[tuple[int, list[tuple]]] = []
+        self.total = 0
+
+    def add(self, tier: int, rows: list[tuple]) -> None:
+        self.waiting.append((tier, rows))
+        self.total += tier
+
+    def deal(self, last: bool = False) -> Iterator[tuple]:
+        """Rows with their group, of as many whole groups as there are, or of all rows if there will be no more."""
+        while self.total >= self.steps * self.tokens:
+            yield from self._deal(self.steps, self.total - self.steps * self.tokens)
+        if last and self.waiting:
+            yield from self._deal(max(1, self.total // self.tokens), 0)
+
+    def _deal(self, groups: int, beyond: int) -> Iterator[tuple]:
+        """beyond: tokens that wait for the next groups, those of the last windows that fit."""
+        kept, later = [], []
+        for tier, rows in reversed(self.waiting):
+            if tier <= beyond:
+                beyond -= tier
+                later.append((tier, rows))
+            else:
+                kept.append((tier, rows))
+        kept.sort(key=lambda w: -w[0])
+        heap = [(0, g) for g in range(groups)]
+        for tier, rows in kept:
+            filled, g = heap[0]
+            heapreplace(heap, (filled + tier, g))
+            for r in rows:
+                yield (*r, self.next + g)
+        self.next += groups
+        self.waiting = later[::-1]
+        self.total = sum(tier for tier, _ in later)
+
+
 class Packer:
     """Packs one task's documents."""
 
-    def __init__(self, tiers: tuple[int, ...], sequences: int):
-        self.tiers, self.next = tiers, sequences
+    def __init__(self, tiers: tuple[int, ...], first: int, tokens: int = GROUP_TOKENS):
+        self.tiers, self.next = tiers, first
         self.docs: dict[int, tuple[int | None, bytes]] = {}
         self.pool: list[Piece] = []
         self.count = 0
-        self.tokens = dict.fromkeys(tiers, 0)
+        self.steps = Steps(first, tokens)
 
-    def add(self, doc_id: int | None, ids: bytes) -> list[tuple]:
-        """Takes a document and returns the rows of its whole windows."""
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Takes a document; its whole windows leave at once."""
         n, at, key = len(ids) // 4, 0, self.count
         self.docs[key] = (doc_id, ids)
         self.count += 1
-        rows = []
         while n - at >= self.tiers[0]:
-            rows += self._rows(self.tiers[0], [(self.tiers[0], key, at)])
+            self._window(self.tiers[0], [(self.tiers[0], key, at)])
             at += self.tiers[0]
         if at < n:
             insort(self.pool, (n - at, key, at))
         else:
             del self.docs[key]
-        return rows
 
     def flush(self, last: bool = False) -> list[tuple]:
-        rows = [r for tier, pieces in pack(self.pool, self.tiers, last) for r in self._rows(tier, pieces)]
+        """Packs what waits and returns the rows of whole step groups, or all rows if it is the last call."""
+        for tier, pieces in pack(self.pool, self.tiers, last):
+            self._window(tier, pieces)
         open_docs = {p[1] for p in self.pool}
         self.docs = {k: v for k, v in self.docs.items() if k in open_docs}
-        return rows
+        return list(self.steps.deal(last))
 
-    def _rows(self, tier: int, pieces: list[Piece]) -> list[tuple]:
+    def _window(self, tier: int, pieces: list[Piece]) -> None:
         rows, offset = [], 0
-        group = (self.tokens[tier] // GROUP_TOKENS) * len(self.tiers) + self.tiers.index(tier)
         for n, key, start in pieces:
             doc_id, ids = self.docs[key]
-            rows.append((doc_id, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4, self.next, offset, tier, (self.next >> 40 << 40) + group))
+            rows.append((doc_id, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4, self.next, offset, tier))
             offset += n
         self.next += 1
-        self.tokens[tier] += tier
-        return rows
+        self.steps.add(tier, rows)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A null or empty text is a document of the end id alone.  Ids may be null or repeat: every row is packed.  A document
-    of any length is cut into whole windows and one rest.  No rows give no pieces; other columns are not read.
+    of any length is cut into whole windows and one rest.  No rows give no pieces; other columns are not read.  Which pieces
+    share a sequence, the sequences' and groups' ids and the padding depend on how the input is dealt to tasks; the pieces of
+    each document don't lose or repeat an id whatever the deal.
     """
     path = path or default_path()
     end = END.to_bytes(4, "little")
@@ -134,9 +182,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
         with without_gc():
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                for a, z, texts in chunks(batch, size=1 << 20):
-                    for doc_id, words in zip(ids[a:z], bpe.split(texts)):
-                        rows += packer.add(doc_id, bpe.encode(words) + end)
+                for a, z, texts in chunks(batch, size=PART):
+                    for doc_id, (own, _) in zip(ids[a:z], bpe.encoded(texts)):
+                        packer.add(doc_id, own + end)
                     waiting += z - a
                     if waiting >= BLOCK:
                         rows += packer.flush()
@@ -147,4 +195,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
             if rows:
                 yield done()
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, _DDL)
+    return text_rows(docs, id_col, text_col).mapInArrow(task(run), _DDL)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -388,10 +389,37 @@ def test_bpe_on_random_text(library):
     for k in range(400):
         signs = r.choice(("ab", "thein", "aeioulnrst", "abcdefghijklmnopqrstuvwxyzéñß", "0123456789", "!?.-=+*'", "aéαбщ中 \u0301"))
         t = "".join(r.choice(signs) for _ in range(r.choice((1, 6, 30, 120, 700))))
-        t += r.choice(("", " ", " \x1c", "\x85", "'s ", "<|endoftext|>", "<|x")) + t.upper()
-        w = coder.split([t.encode()])[0]
+        t += r.choice(("", " ", " \x1c", "\x85", "\u00a0", "\u2003ß ", "'s ", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|x", " \u0301", "\x00")) + t.upper()
+        ((got, text),) = coder.encoded([t.encode()])
         ids = library.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(coder.encode(w), "<u4").tolist() == ids and coder.decoded_text(w).decode() == library.decode(ids, skip_special_tokens=False)
+        assert np.frombuffer(got, "<u4").tolist() == ids and text.decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_of_long_unsplit_text(library):
+    """Runs in which no two halves agree, and scripts without spaces, are done in seconds and as the library does."""
+    r = random.Random(6)
+    cyrillic, greek, han = ("".join(chr(r.randrange(a, z)) for _ in range(n)) for a, z, n in ((0x430, 0x450, 500_000), (0x3B1, 0x3CA, 30_000), (0x4E00, 0x9FA0, 100_000)))
+    texts = ["ba" + "a" * 100_000, "a" * 1_000_000, "ab" * 20_000 + "c", "!" * 50_001, cyrillic, greek.upper(), han, "e\u0301" * 9_000, "x" * 5_000 + "<|endoftext|>" + "y" * 4_999, "thein" * 3_000 + "<|x"]
+    coder = bpe.WordBpe(bpe.default_path(), True)
+    for t in texts:
+        began = time.monotonic()
+        ((got, text),) = coder.encoded([t.encode()])
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == ids, t[:20]
+        assert text.decode() == library.decode(ids, skip_special_tokens=False)
+        assert time.monotonic() - began < 60
+
+
+def test_bpe_joins_at_every_place(library):
+    """Any two stretches of a piece join to the encoding of the whole."""
+    r = random.Random(9)
+    coder = bpe.WordBpe(bpe.default_path())
+    for signs in ("a", "ab", "thein", "aeioulnrst", "aeéñ"):
+        for _ in range(60):
+            t = "".join(r.choice(signs) for _ in range(r.randrange(2, 90))).encode().decode("latin-1").translate(coder.to_signs)
+            at = r.randrange(1, len(t))
+            left, right = coder._encode_signs([t[:at], t[at:]], True)
+            assert coder.join(left, right) == [x.id for x in library.model.tokenize(t)]
 
 
 def check_pieces(rows, ids_of, tiers=packing.TIERS):
@@ -425,11 +453,11 @@ def test_packing(docs, plain, none, library):
 
 def test_packer_blocks():
     r = random.Random(2)
-    p, rows, want = packing.Packer((16, 8, 4, 2), 0), [], {}
+    p, rows, want = packing.Packer((16, 8, 4, 2), 0, 64), [], {}
     for i in range(300):
         ids = [r.randrange(9) for _ in range(r.choice((1, 2, 3, 5, 7, 9, 15, 16, 17, 40)))]
         want[i] = ids
-        rows += p.add(i, np.array(ids, "<u4").tobytes())
+        p.add(i, np.array(ids, "<u4").tobytes())
         if i % 37 == 0:
             rows += p.flush()
     rows += p.flush(True)
@@ -437,6 +465,28 @@ def test_packer_blocks():
     assert {x[7] for x in rows} == {16, 8, 4, 2} and not p.docs
 
 
+def test_steps_are_balanced():
+    r = random.Random(3)
+    s, out, given = packing.Steps(0, 64, 4), [], []
+    for k in range(500):
+        given.append(r.choice((16, 8, 4, 2)))
+        s.add(given[-1], [(k, given[-1])])
+        if k % 50 == 0:
+            out += s.deal()
+    out += s.deal(True)
+    assert sorted(x[:2] for x in out) == sorted(enumerate(given))
+    groups = collections.defaultdict(collections.Counter)
+    for _, tier, g in out:
+        groups[g][tier] += 1
+    tokens = [sum(t * n for t, n in groups[g].items()) for g in sorted(groups)]
+    whole = len(tokens) // 4 * 4 - 4
+    assert set(tokens[:whole]) == {64} and 64 <= min(tokens) and max(tokens) - min(tokens[whole:]) <= 32
+    for a in range(0, whole, 4):
+        for tier in (16, 8):
+            n = [groups[g][tier] for g in sorted(groups)[a : a + 4]]
+            assert max(n) - min(n) <= 1 + (tier == 8)
+
+
 # --- op7
 
 
