@@ -86,50 +86,110 @@ def test_words_and_shingles(plain):
 # --- op1
 
 
-def test_suffix_tree(docs, plain, none, spark):
+def plain_tree(texts, train):
+    """Brute force: the root, the states and chance(history, symbol) of texts (lists of tokens, None the end)."""
+    c = collections.Counter(w for x, on in zip(texts, train) if on for w in x)
+    n, v = sum(c.values()), len(c)
+    v1, v2 = sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    less = v1 / (v1 + 2 * v2) if v1 and v2 else 0.5
+    level = lambda k: k if k <= 16 else 17 + int(8 * math.log2(k / 16))
+    alike = collections.defaultdict(list)
+    for k in c.values():
+        alike[level(k)].append(k)
+    name = lambda w: w if c[w] else "unknown"
+    after = collections.defaultdict(collections.Counter)
+    for x, on in zip(texts, train):
+        for i, w in enumerate(x) if on else ():
+            history = tuple(map(name, ([None, None] + x)[i : i + 2]))
+            after[history[1:]][w] += 1
+            after[history][w] += 1
+
+    states = set()
+
+    def chance(history, w, depth=2):
+        if depth == 0:
+            same = alike[level(c[w])] if w in c else None
+            return (sum(same) / len(same) - less) / n if same else less * v / n
+        p, s = chance(history, w, depth - 1), history[2 - depth :]
+        if s not in states:
+            return p
+        kinds, total = len(after[s]), sum(after[s].values())
+        return (after[s][w] + kinds * p) / (total + kinds)
+
+    for depth in (1, 2):
+        for s in [s for s in after if len(s) == depth]:
+            history, f = (None, *s)[-2:], after[s]
+            lower = {w: chance(history, w, depth - 1) for w in f}
+            kinds, total = len(f), sum(f.values())
+            gain = sum(k * math.log((k + kinds * lower[w]) / (total + kinds) / lower[w]) + math.log(lower[w]) for w, k in f.items())
+            if gain > kinds * math.log(max(total, 2)) / 2:
+                states.add(s)
+    return c, states, chance, name
+
+
+def test_suffix_tree(docs, plain, none, spark, monkeypatch):
     got = suffix_tree.score_texts(docs).collect()
     tok = [(i, words(t) + [None]) for i, t, *_ in plain]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = collections.Counter(w for i, x in tok if not held(i) for w in x)
+    c, states, chance, name = plain_tree([x for _, x in tok], [not held(i) for i, _ in tok])
     n, v = sum(c.values()), len(c)
     want = sorted(key((i, held(i), len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 6))) for i, x in tok)
     assert sorted(key((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))) for r in got) == want
-    assert all(r.score < 0 and r.spelled_score < 0 for r in got)
-    # the chances of the training tokens and of the unknown one sum to 1
-    tree = suffix_tree.learn(text_rows(docs).withColumn("held_out", F.coalesce(suffix_tree.held_out("doc_id"), F.lit(False))))
-    vocabulary = [w for w in c if w is not None]
-    w = Words([" ".join(vocabulary).encode()])
-    code, history, owner = suffix_tree.events(w, np.arange(len(w.starts)))
-    spelled = 10 ** np.bincount(owner, weights=np.log10(tree.chance(code, history)))
-    end = float(tree.chance(np.array([(32 << 8) | 10], np.uint64), np.array([1]))[0])
-    v1, v2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    less = v1 / (v1 + 2 * v2)
-    given, total = less * v / n, spelled.sum() + end
-    p = {x: (c[x] - less) / n + given * s for x, s in zip(vocabulary, spelled)} | {None: (c[None] - less) / n + given * end}
-    unknown = given * (1 - total)
-    assert abs(sum(p.values()) + unknown - 1) < 1e-9
-    scores = {r.doc_id: r.score for r in got if r.doc_id is not None}
+    assert {len(s) for s in states} == {1, 2}
+    scores = {(r.doc_id, r.n_tokens): r.score for r in got}
     for i, x in tok:
-        if i is not None:
-            assert abs(sum(math.log10(p.get(w, unknown)) for w in x) - scores[i]) < 1e-3
+        history = list(map(name, [None, None] + x))
+        p = [chance(tuple(history[k : k + 2]), name(w)) for k, w in enumerate(x)]
+        assert abs(sum(map(math.log10, p)) - scores[i, len(x)]) < 0.02
+    # every state's chances and those of the root sum to 1 over the training tokens and the unknown one
+    for s in [(), *sorted(states, key=str)[::29]]:
+        assert abs(sum(chance((None, None, *s)[-2:], w) for w in [*c, "unknown"]) - 1) < 1e-9
     assert suffix_tree.score_texts(none).count() == 0
-
-
-def test_tree_is_a_distribution(docs):
-    tree = suffix_tree.learn(text_rows(docs).withColumn("held_out", F.lit(False)))
-    assert sum(len(c) for c in tree.contexts) > 0
-    for context in (b"    ", b"the", b"f", b" wa", b"leaf", b"\xc3"):
-        codes = np.array([int.from_bytes(context[-4:] + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs(tree.chance(codes, np.full(256, min(len(context), 4))).sum() - 1) < 1e-9
-
-
-def test_tree_keeps_rare_contexts(spark):
-    """What the tree knows of a word doesn't depend on how much else there is."""
-    rows = [(0, "aaaa bbbb " * 300_000), (1, "zqxj zqxj zqxj")]
-    tree = suffix_tree.learn(spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)))
-    assert all((b | 1 << 40) in tree.contexts[1].tolist() for b in b"zqx")
-    code = np.array([int.from_bytes(b" zqxj", "big")], np.uint64)
-    assert tree.chance(code, np.array([4]))[0] > 0.5
+    # blocks of any size, and other numbers of owners, give the same
+    small = suffix_tree.score_texts(docs.repartition(1).withColumn("held", F.lit(1)).withColumn("block", F.lit("x"))).collect()
+    for x, y in zip(*(sorted((r.doc_id or 0, r.n_tokens, r.score) for r in rows) for rows in (small, got))):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 0.02
+
+
+def test_suffix_tree_knows_the_order_of_words(spark):
+    """Contexts matter: a text seen twice is likelier than its words in another order, however much else there is."""
+    twice = " ".join(f"w{k}" for k in range(40))
+    mixed = " ".join(f"w{(7 * k) % 40}" for k in range(40))
+    for rest in (0, 200_000):
+        ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+        out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+        rows = [(ids[0], twice), (ids[1], twice), (ids[2], "aaaa bbbb " * rest), (out[0], twice), (out[1], mixed), (None, "x " + twice)]
+        got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[out[0]] == pytest.approx(got[ids[0]], abs=0.02) and got[out[0]] > got[out[1]] + 20
+
+
+def test_suffix_tree_splits_hot_tokens(spark, monkeypatch):
+    """A token over the limit lies with several owners, whose chances still sum to 1 for each context."""
+    r = np.random.default_rng(2)
+    n = 4000
+    context, before = r.integers(0, 3, n).astype(np.uint32), r.integers(0, 5, n).astype(np.uint32)
+    symbol, count = r.integers(0, 30, n).astype(np.uint32), r.integers(0, 4, n)
+    root = (np.arange(1, 31) / np.arange(1, 31).sum())[symbol]
+    p = suffix_tree.grow(context, before, symbol, count, root)
+    seen = {}
+    for k in zip(context.tolist(), before.tolist(), symbol.tolist(), p.tolist()):
+        assert seen.setdefault(k[:3], k[3]) == k[3]
+    sums = collections.Counter()
+    for (a, b, _), q in seen.items():
+        sums[a, b] += q
+    assert len(seen) == 450 and all(abs(x - 1) < 1e-9 for x in sums.values())
+    monkeypatch.setattr(suffix_tree, "OWNER_EVENTS", 50)
+    h = np.append(np.unique(r.integers(0, 1 << 62, 40, dtype=np.uint64)), suffix_tree.END_HASH)
+    seq = np.append(r.integers(0, 40, 999), 40)
+    row = {"hashes": h.tobytes(), "seq": suffix_tree._packed(seq), "tokens": [1000]}
+    cuts, context, *_ = suffix_tree._events(row, np.where(np.arange(41) == 7, 900, 10), 64)
+    assert len(set(context.tolist())) > 41 + 10 and (np.diff(cuts) > 0).sum() > 20
+
+
+def test_suffix_tree_on_held_out_texts(spark):
+    """Texts that the tree hasn't seen are likelier by it than by unigrams."""
+    sums = suffix_tree.score_texts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).groupBy("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).collect()
+    assert len(sums) == 2 and all(r.score > r.base for r in sums)
 
 
 # --- op2
