@@ -1,9 +1,14 @@
 """URL filter: given rules first, then association rules mined by FP-growth.
 
 Labels come from a labelled table or, by default, from the given rules' verdicts and a few seed words.  A url is a set of
-tokens (words of host and path, without numbers) and its label.  Spark's FP-growth mines frequent token sets; rules whose
-consequent is `block` are kept if they reach support and confidence and no shorter rule among them says as much.  Kept
-rules are an inverted index from a rule's rarest token: urls join it by token and a rule fires if the url has its others.
+tokens (words of host and path, without numbers) and its label.  Rules say that a set of tokens means `block`; they reach
+support and confidence, and no part of one is a rule itself, as it would fire wherever the whole does.
+
+Mining: single tokens are rules by their counts and leave the blocked urls.  Of the others, those that stand in the very same
+blocked urls count as one, all of them: no part of such a group blocks more, and the whole allows least.  Spark's FP-growth
+mines sets of these groups, so a url of many tokens that is repeated ever so often is a single item, not 2 to their number.
+What is left of that number is in the tokens of one url that are each frequent, not telling alone and spread differently.
+Kept rules are an inverted index from a rule's rarest token: urls join it by token and a rule fires if the url has its others.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ SUPPORT = 0.0005
 #: Urls that a rule must hold for at least, however few there are.
 LEAST_URLS = 5
 CONFIDENCE = 0.9
-_BLOCK = "=block"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,31 +57,40 @@ def url_rows(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
     return rows.withColumn("given", rule_of(F.col("host"), F.col("path"), rules)).withColumn("tokens", F.array_distinct(F.concat(_words(F.col("host"), "h:"), _words(low, "p:"))))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Pruned rules (rule, items, anchor, confidence, support) from rows (tokens, label).
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS) -> DataFrame:
+    """Rules (rule, items, anchor, confidence, support) from rows (tokens, label); sets of any size.
 
-    There are at most as many single tokens as 1 / support allows for each url's length; the table is bounded by support
-    and not by the number of urls.
+    The table is bounded by support, and not by the number of urls.
     """
-    rows = labelled.select(F.when(F.col("label") == "block", F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    blocked = materialize(rows.filter(F.array_contains("items", _BLOCK)))
-    total = rows.count()
-    least = max(support * total, LEAST_URLS)
-    n_blocked = blocked.count()
+    rows = labelled.select("tokens", (F.col("label") == "block").alias("bad"))
+    blocked = materialize(rows.filter("bad").select(F.monotonically_increasing_id().alias("id"), "tokens"))
+    total, n_blocked = rows.count(), blocked.count()
+    least = max(support * total, least_urls)
     empty = labelled.sparkSession.createDataFrame([], "rule string, items array<string>, anchor string, confidence double, support double")
     if n_blocked < least:
         return empty
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_blocked)).fit(blocked.select(F.array_except("items", F.array(F.lit(_BLOCK))).alias("items")).filter("size(items) > 0")).freqItemsets
-    sets = materialize(sets.select(F.array_sort("items").alias("items"), "freq"))
-    # confidence: urls with these tokens at all, found by the rarest token among them
-    each = materialize(rows.select(F.explode("items").alias("t")).join(small_side(materialize(sets.select(F.explode("items").alias("t")).distinct())), "t").groupBy("t").agg(F.count("*").alias("n")))
-    anchored = sets.select("items", "freq", F.explode("items").alias("t")).join(each, "t").groupBy("items", "freq").agg(F.min_by("t", F.struct("n", "t")).alias("anchor"))
-    anchored = materialize(anchored)
-    seen = rows.select(F.col("items").alias("url_items"), F.explode("items").alias("anchor")).join(small_side(anchored), "anchor").filter(F.size(F.array_except("items", "url_items")) == 0).groupBy("items", "anchor", "freq").agg(F.count("*").alias("n"))
-    good = materialize(seen.withColumn("confidence", F.col("freq") / F.col("n")).filter(F.col("confidence") >= confidence))
-    part = good.select(F.col("items").alias("sub"), F.col("anchor").alias("t"), F.col("confidence").alias("sub_confidence"))
-    worse = good.select("items", "confidence", F.explode("items").alias("t")).join(part, "t").filter((F.size("sub") < F.size("items")) & (F.size(F.array_except("sub", "items")) == 0) & (F.col("sub_confidence") >= F.col("confidence"))).select("items").distinct()
-    return good.join(worse, "items", "left_anti").select(F.array_join("items", "+").alias("rule"), "items", "anchor", "confidence", (F.col("freq") / total).alias("support"))
+    # frequent tokens with the blocked urls that hold them, and all urls that do
+    cover = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    frequent = materialize(blocked.select("id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("freq"), *cover).filter(F.col("freq") >= least))
+    everywhere = rows.select(F.explode("tokens").alias("t")).join(small_side(frequent.select("t")), "t").groupBy("t").agg(F.count("*").alias("n"))
+    tokens = materialize(frequent.join(everywhere, "t"))
+    singles = tokens.filter(F.col("freq") >= confidence * F.col("n"))
+    groups = materialize(tokens.filter(F.col("freq") < confidence * F.col("n")).groupBy("freq", "x1", "x2").agg(F.min("t").alias("t"), F.array_sort(F.collect_list("t")).alias("members")).select("t", "members"))
+    bags = materialize(blocked.select("id", F.explode("tokens").alias("t")).join(small_side(groups.select("t")), "t").groupBy("id").agg(F.collect_list("t").alias("items")))
+    n_bags = bags.count()
+    good = singles.select(F.array("t").alias("items"), F.col("t").alias("anchor"), "freq", "n")
+    if n_bags >= least:
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_bags)).fit(bags.select("items")).freqItemsets
+        whole = sets.select(F.array_sort("items").alias("set"), "freq", F.explode("items").alias("t")).join(small_side(groups), "t").groupBy("set", "freq").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("items"))
+        # all urls with these tokens, found by the rarest token among them
+        each = tokens.select("t", F.col("n").alias("k"))
+        anchored = materialize(whole.filter("freq > 0 AND size(items) > 1").select("items", "freq", F.explode("items").alias("t")).join(small_side(each), "t").groupBy("items", "freq").agg(F.min_by("t", F.struct("k", "t")).alias("anchor")))
+        seen = rows.select(F.col("tokens").alias("url"), F.explode("tokens").alias("anchor")).join(small_side(anchored), "anchor").filter(F.size(F.array_except("items", "url")) == 0).groupBy("items", "anchor", "freq").agg(F.count("*").alias("n"))
+        good = good.unionByName(seen.filter(F.col("freq") >= confidence * F.col("n")))
+    good = materialize(good)
+    part = good.select(F.col("items").alias("sub"), F.col("anchor").alias("t"))
+    longer = good.select("items", F.explode("items").alias("t")).join(part, "t").filter((F.size("sub") < F.size("items")) & (F.size(F.array_except("sub", "items")) == 0)).select("items").distinct()
+    return good.join(longer, "items", "left_anti").select(F.array_join("items", "+").alias("rule"), "items", "anchor", (F.col("freq") / F.col("n")).alias("confidence"), (F.col("freq") / total).alias("support"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

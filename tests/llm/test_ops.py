@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -423,6 +424,58 @@ def test_url_rules_of_many_tokens(spark):
     assert got.filter("mined = 'h:net+h:shop+p:deal+p:en'").count() == 20
 
 
+def plain_rules(rows, least, confidence):
+    """Brute force: minimal sets of tokens, those of equal cover as one, with their counts."""
+    count = lambda s, bad: sum(s <= set(t) and (not bad or lab == "block") for t, lab in rows)
+    tokens = sorted({x for t, _ in rows for x in t})
+    often = [x for x in tokens if count({x}, True) >= least]
+    rules = {frozenset([x]) for x in often if count({x}, True) >= confidence * count({x}, False)}
+    groups = collections.defaultdict(list)
+    for x in often:
+        if frozenset([x]) not in rules:
+            groups[tuple(i for i, (t, lab) in enumerate(rows) if lab == "block" and x in t)].append(x)
+    found = set(rules)
+    for size in range(1, len(groups) + 1):
+        for some in itertools.combinations(groups.values(), size):
+            s = frozenset(itertools.chain(*some))
+            if count(s, True) >= least and count(s, True) >= confidence * count(s, False):
+                found.add(s)
+    return {"+".join(sorted(s)): (count(s, True) / count(s, False), count(s, True) / len(rows)) for s in found if not any(o < s for o in found)}
+
+
+def test_mined_rules(spark):
+    r = random.Random(12)
+    sizes = set()
+    for k in range(4):
+        rows = []
+        for _ in range(90):
+            t = sorted({r.choice("abcdefgh"[: 5 + k]) for _ in range(r.randrange(1, 6))})
+            bad = ("a" in t and "b" in t) or ("c" in t and "d" in t and "e" in t and k > 1) or r.random() < 0.1
+            rows.append((t + (["u", "v", "w"] if bad and "c" in t else []), "block" if bad else "allow"))
+        rows += [(["u", "v"], "allow"), (["v", "w"], "allow"), ([], "block"), (["z"], "other")]
+        got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.0, 0.8, 3).collect()
+        want = plain_rules(rows, 3, 0.8)
+        assert {x.rule: (pytest.approx(x.confidence), pytest.approx(x.support)) for x in got} == want
+        sizes |= {len(x.items) for x in got}
+    assert {2, 3} <= sizes
+
+
+def test_a_hot_url(spark):
+    """A long url that is repeated is no harder than a short one, whether its words are telling alone or not."""
+    long = "/".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    words = long.split("/")
+    pages = [(k, f"http://bets.shop.net/{long}/{k % 2}") for k in range(1000)] + [(2000 + k, f"http://a.net/{w}/x") for k, w in enumerate(words * 200)] + [(None, None), (1500, "http://b.net/" + "x" * 200_000)]
+    began = time.monotonic()
+    docs = spark.createDataFrame(pages, "page_id long, url string").withColumn("anchor", F.lit(1)).withColumn("items", F.lit(2))
+    got = url_rules.filter_urls(docs, rules=(("allow", "org/"),))
+    assert {r.verdict: r["count"] for r in got.groupBy("verdict").count().collect()} == {"block": 1000, "allow": 8002}
+    labels = docs.filter("page_id IS NOT NULL").select("page_id", F.when(F.col("page_id") < 1000, "block").otherwise("allow").alias("label"))
+    plain = docs.withColumn("url", F.regexp_replace("url", "bets.shop", "a"))
+    got = url_rules.filter_urls(plain, labels, rules=(("allow", "org/"),))
+    assert got.filter("verdict = 'block'").count() == 1000 and got.filter("mined IS NOT NULL").select("mined").distinct().count() >= 1
+    assert time.monotonic() - began < 100
+
+
 # --- op6 and op8
 
 
