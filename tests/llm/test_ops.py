@@ -659,6 +659,53 @@ def test_license_scan(spark, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def plain_labels(w, templates):
+    """Brute force: templates of which some band of diagonals covers enough words by runs in order."""
+    out = set()
+    for text, label in templates.items():
+        t = text.split()
+        k = min(license_scan.K, len(t))
+        hits = [(p, q) for p in range(len(w) - k + 1) for q in range(len(t) - k + 1) if w[p : p + k] == t[q : q + k]]
+        for d in {p - q for p, q in hits}:
+            first = {}
+            for p, q in hits:
+                if d <= p - q <= d + license_scan.SHIFT:
+                    first[q] = min(p, first.get(q, p))
+            covered, top = set(), -1
+            for q, p in sorted(first.items()):
+                if p > top:
+                    covered |= set(range(q, q + k))
+                top = max(top, p)
+            if len(covered) >= license_scan.COVER * len(t):
+                out.add(label)
+    return out
+
+
+def test_license_spans(spark):
+    """Whole texts, with words changed, left out and put in, repeated and among others; more text never takes a label away."""
+    r = random.Random(7)
+    bodies = list(license_scan.TEMPLATES)
+    texts = ["released under the mit license", "released under the mit license" + " mit license" * 5, "mit license " * 50 + "released under the mit license " * 3]
+    for body in bodies:
+        w = body.split()
+        for edits in (0, 1, 3, 8):
+            x = list(w)
+            for _ in range(edits):
+                i = r.randrange(len(x))
+                x[i : i + 1] = r.choice(([], [x[i], "extra"], ["other"]))
+            texts.append(" ".join(["some", "words"] + x + r.choice((["end"], x, w[:5], w[::-1]))))
+    texts.append(" ".join(texts) + " long " * 30_000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("run", F.lit(1)).withColumn("off", F.lit(2)).repartition(3)
+    got = {x.doc_id: set(x.labels.split(",")) - {""} for x in license_scan.scan_licenses(docs).collect()}
+    assert "mit-notice" in got[0] and "mit-notice" in got[1] and "mit-notice" in got[2]
+    for i, t in enumerate(texts[:-1]):
+        w = t.split()
+        base = {lab for p, lab in license_scan.PHRASES.items() if f" {p} " in f" {t} "}
+        assert got[i] == plain_labels(w, license_scan.TEMPLATES) | base, t
+    assert set().union(*(got[i] for i in range(len(texts) - 1))) <= got[len(texts) - 1]
+    assert {"mit-full", "bsd-2-clause", "gpl-3.0-or-later", "zlib"} <= got[len(texts) - 1]
+
+
 # --- op10
 
 
