@@ -84,8 +84,6 @@ COVER = 0.85
 #: Diagonals this far apart are of one span.
 SHIFT = 2
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word, capitals included.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -142,7 +140,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
         F.count("start").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"),
     )
-    counts = rows.select("doc_id", key, F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    counts = rows.select("doc_id", key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = counts.alias("c").join(result.alias("f"), F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.key") == F.col("f.key")), "left")
     return joined.select(
         "c.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
