@@ -32,7 +32,7 @@ LEAF = 64
 #: Tokens on each side of the first window.
 WINDOW = 4
 #: Bytes of the units that a task keeps encoded, and what a unit takes beside its ids and its decoded text.
-CACHE = 80 << 20
+CACHE = 48 << 20
 ENTRY = 180
 #: Bytes of text that are cut into units at once.
 PART = 1 << 20

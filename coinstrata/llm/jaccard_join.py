@@ -298,10 +298,10 @@ def _with(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, bounded: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, tasks: int, bounded: bool = False) -> DataFrame:
     """The pairs (a, b) that link."""
     if not bounded:
-        pairs = _with(pairs, nodes, ["n", "own", "bits"]).mapInArrow(task(_bound), "a long, b long")
+        pairs = materialize(_with(pairs, nodes, ["n", "own", "bits"]).mapInArrow(task(_bound), "a long, b long"), tasks)
     return _with(pairs, classes, ["hashes"]).mapInArrow(task(_intersect), "a long, b long")
 
 
@@ -421,16 +421,16 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     own = classes.select("node", "hashes").mapInArrow(task(_block_rows), "block long, nodes binary, sizes binary, h binary")
     nodes = materialize(own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_nodes(few), "node long, n long, own long, bits binary, entries array<long>"), tasks)
     entries = nodes.select(F.explode("entries").alias("h"), "node", "n", "own")
-    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes), tasks)
+    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes, tasks), tasks)
     pairs = _stars(entries, -F.col("node")).join(found, ["a", "b"], "left_anti")
-    found = materialize(found.union(verified(pairs, nodes, classes)), tasks)
+    found = materialize(found.union(verified(pairs, nodes, classes, tasks)), tasks)
     roots = components(found)
     labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")), tasks)
     several = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("h", "k")
     tile = ["h", "lo", "up", "i", "j"]
     rows = _tiles(materialize(labelled.join(several, "h"), tasks)).join(nodes.select("node", "bits"), "node")
     pairs = rows.repartition(owners, *tile).sortWithinPartitions(*tile).mapInArrow(task(_meet_all), "a long, b long").distinct()
-    return found.union(verified(pairs, nodes, classes, bounded=True))
+    return found.union(verified(pairs, nodes, classes, tasks, bounded=True))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,7 +443,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = text_rows(docs, id_col, text_col)
     sets = materialize(rows.mapInArrow(task(_sets), "doc_id long, n long, s1 long, s2 long"))
-    roots = components(links(rows, sets))
+    roots = components(materialize(links(rows, sets)))  # a stage each for the Python steps before and after, so no task needs two workers
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("k"))
     rooted = materialize(classes.join(roots.withColumnRenamed("node", "s1"), "s1", "left").withColumn("root", F.coalesce("root", "s1")))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("k").alias("size")).filter("size > 1")
