@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coinstrata.llm._common import LOWER, SPACE, chunks, mix, text_rows
+from coinstrata.llm._common import LOWER, SPACE, chunks, mix, task, text_rows
 
 #: Labelled rows that training reads for each language; the sample is the rows with the least hashes.
 SAMPLE = 600
+#: Characters of a sampled text that training reads; predictions read whole texts.
+CHARS = 20_000
+#: Bytes whose n-grams are at hand at once.
+SLICE = 1 << 18
 BUCKETS = 1 << 14
 DIM = 16
 ORDERS = (1, 2, 3, 4)
@@ -117,10 +121,8 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
             bias -= rate * 0.1 * p
             emb[ids] -= (rate * 20) * share[:, None] * back
     table = emb @ out
-    def logits(which):
-        return np.array([share @ table[ids] + bias for ids, share in (counts[i] for i in which)]).reshape(-1, len(names))
     test = held if len(held) else used
-    z, t = logits(test), y[test]
+    z, t = np.array([share @ table[ids] + bias for ids, share in (counts[i] for i in test)]).reshape(-1, len(names)), y[test]
     temperature = min((0.25 * 1.2**k for k in range(20)), key=lambda s: -np.log(np.maximum(_softmax(z / s)[np.arange(len(t)), t], 1e-12)).mean())
     best = np.sort(_softmax(z / temperature).max(axis=1))
     least = min(0.4, float(best[int(len(best) * LOST)])) if len(best) else 0.0
@@ -134,13 +136,39 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8"))
 
 
+def parts(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """text in stretches of about size bytes, cut at white space, so they have the same n-grams; a longer word is cut."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+        end = end if end > at else at + size
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def logits(model: Model, texts: list[bytes]) -> np.ndarray:
+    """The mean of the table's rows of each text's n-grams, and the bias; memory is that of a slice."""
+    sums, n = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts))
+    slices: list[tuple[list[int], list[bytes]]] = [([], [])]
+    for i, text in enumerate(texts):
+        for part in parts(text):
+            if sum(map(len, slices[-1][1])) + len(part) > SLICE and slices[-1][1]:
+                slices.append(([], []))
+            slices[-1][0].append(i)
+            slices[-1][1].append(part)
+    for owners, some in slices:
+        buckets, at = features(some)
+        np.add.at(n, owners, np.diff(at))
+        for k in range(len(model.langs)):
+            c = np.concatenate([[0.0], np.cumsum(model.table[:, k][buckets], dtype=np.float64)])
+            np.add.at(sums[:, k], owners, c[at[1:]] - c[at[:-1]])
+    return sums / np.maximum(1, n)[:, None] + model.bias
+
+
 def predict(model: Model, texts: list[bytes]) -> Iterator[tuple[str, float, bool]]:
     """Language, probability, accepted of each text."""
-    buckets, at = features(texts)
-    sums = np.zeros((len(buckets) + 1, len(model.langs)))
-    np.cumsum(model.table[buckets], axis=0, out=sums[1:], dtype=np.float64)
-    n = np.maximum(1, np.diff(at))[:, None]
-    p = _softmax(((sums[at[1:]] - sums[at[:-1]]) / n + model.bias) / model.temperature)
+    p = _softmax(logits(model, texts) / model.temperature)
     for text, row in zip(texts, p):
         if not has_letter(text):
             yield UNKNOWN, 0.0, False
@@ -155,19 +183,18 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """At most `most` labelled training texts of each language: those whose ids have the least hashes.
+    """At most `most` labelled training texts of each language, those with the least hashes, and of each the first CHARS.
 
     A first job counts rows by language and a second keeps the share that is needed, with some to spare, so no sort sees
-    more than a few times the sample.
+    more than a few times the sample; of rows that repeat each task sends `most` at most.
     """
     rows = docs.filter(~F.coalesce(held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, int(min(1.0, 1.5 * (most + 50) / k) * (1 << 30)))]) if n else F.create_map()
     few = rows.withColumn("place", place).filter(F.col("place") <= share[F.col("lang")]) if n else rows.withColumn("place", place)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    kept = few.select("doc_id", "lang", "place").withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id", "lang")
-    chosen = rows.join(F.broadcast(kept), ["doc_id", "lang"], "left_semi").select("text", "lang").collect()
+    chosen = few.withColumn("text", F.substring("text", 1, CHARS)).withColumn("rank", rank).filter(F.col("rank") <= most).select("text", "lang").collect()
     return [r["text"].encode() for r in chosen], [r["lang"] for r in chosen]
 
 
@@ -192,11 +219,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("held_out").slice(a, z - a), pa.array(langs), pa.array(scores, pa.float64()), pa.array(ok)], schema=_OUT)
 
     rows = text_rows(docs, id_col, text_col).withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(task(run), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows whose language is rejected, all columns as they were."""
+    """docs without the rows whose language is rejected, all columns as they were; a null, empty or letterless text goes."""
     model = train(*sample(docs, id_col, text_col, lang_col))
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = docs.schema
@@ -208,4 +235,4 @@ def keep_accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ok = [accepted for *_, accepted in predict(model, texts)]
                 yield batch.slice(a, z - a).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)
