@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over long tokens.
 
-Under the hypothesis that a token is random in its inferred encoding (hex, base32, base36, base62 or base64) three tests
-give p-values: chi-squared of character classes, the number of runs about the median sign, and serial correlation of
-neighbours, combined by Fisher's method.  Random tokens have uniform p-values, words have small ones.  For each band of
+Under the hypothesis that a token is random in its inferred encoding (hex, base32, base36, base62 or base64) tests of its
+signs give p-values: chi-squared of character classes and of signs, the number of runs about the median sign, and serial
+correlation of neighbours.  The first two come from the same counts and cells are small, so the sum of their logarithms is
+not taken for what it is of independent tests but compared with that of SIMULATED random tokens of the same alphabet and
+about the same length, whose own encoding is inferred likewise.  Random tokens have uniform p-values, words have small ones.  For each band of
 lengths a histogram of the p-values of the corpus's distinct tokens tells how many are random (twice those above one half)
 and so how many of those above a threshold are not; the band's threshold is the least with a share of at most FALSE_SHARE
 and holds for all their occurrences.  A task sends each distinct token once, as a hash; the histogram is a few hundred
@@ -14,15 +16,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coinstrata.llm._common import chunks, text_rows
+from coinstrata.llm._common import chunks, task, text_rows
 
 #: Lower ends of the bands of token lengths.
 BANDS = (20, 24, 32, 48, 80, 160)
@@ -50,6 +54,21 @@ _ALPHABETS = [
 ]
 
 
+def _places(alphabet: str) -> np.ndarray:
+    out = np.zeros(256, dtype=np.int64)
+    out[list(alphabet.encode())] = np.arange(len(alphabet))
+    return out
+
+
+def _classes(alphabet: str) -> list[str]:
+    kinds = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_-")
+    return [x for x in ("".join(c for c in k if c in alphabet) for k in kinds) if x]
+
+
+_PLACES = {a: _places(a) for _, a in _ALPHABETS}
+_CLASSES = {a: _classes(a) for _, a in _ALPHABETS}
+
+
 def encoding_of(token: str) -> tuple[str, str]:
     """Name and alphabet of the smallest encoding whose signs the token keeps to."""
     signs = set(token)
@@ -68,16 +87,15 @@ def _chi_p(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def randomness(token: str) -> float:
-    """Combined p-value of the tests; small for tokens that are not random."""
+def battery(token: str) -> float:
+    """The sum of the tests' negative log p-values; large for tokens that are not random."""
     _, alphabet = encoding_of(token)
     n = len(token)
-    at = np.array([alphabet.index(c) for c in token], dtype=float)
-    classes = [set("0123456789"), set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("+/_-")]
-    shares = [(sum(c in k for c in token), n * len(k & set(alphabet)) / len(alphabet)) for k in classes if k & set(alphabet)]
+    at = _PLACES[alphabet][np.frombuffer(token.encode(), dtype=np.uint8)].astype(float)
+    signs = Counter(token)
+    shares = [(sum(signs[c] for c in k), n * len(k) / len(alphabet)) for k in _CLASSES[alphabet]]
     by_class = _chi_p(sum((o - e) ** 2 / e for o, e in shares), len(shares) - 1)
-    counts = np.array(list(Counter(token).values()), dtype=float)
-    by_sign = _chi_p(float((counts**2).sum() * len(alphabet) / n - n), len(alphabet) - 1)
+    by_sign = _chi_p(sum(c * c for c in signs.values()) * len(alphabet) / n - n, len(alphabet) - 1)
     high = at >= len(alphabet) / 2
     a, b = int(high.sum()), int((~high).sum())
     if a and b:
@@ -88,8 +106,42 @@ def randomness(token: str) -> float:
     spread = float(at.var())
     r = float(((at[:-1] - at.mean()) * (at[1:] - at.mean())).mean() / spread) if spread else 1.0
     by_serial = _normal_p(r * math.sqrt(n))
-    x = -sum(math.log(max(p, 1e-300)) for p in (by_class, by_sign, by_runs, by_serial))
-    return math.exp(-x) * sum(x**i / math.factorial(i) for i in range(4)) if x < 700 else 0.0
+    return -sum(math.log(max(p, 1e-300)) for p in (by_class, by_sign, by_runs, by_serial))
+
+
+#: Random tokens that calibrate an alphabet and length.
+SIMULATED = 400
+#: Lengths that are calibrated; a token is compared with those of the greatest that isn't longer.
+LENGTHS = (20, 22, 24, 28, 32, 40, 48, 64, 80, 128, 160, 256)
+
+
+_simulated: dict[tuple[str, int], np.ndarray] = {}
+
+
+def simulated(alphabet: str, length: int) -> np.ndarray:
+    """Sorted sums of the tests of random tokens; the same each time."""
+    if (alphabet, length) not in _simulated:
+        r = np.random.default_rng([length, len(alphabet), ord(alphabet[-1])])
+        signs = np.array(list(alphabet))
+        _simulated[alphabet, length] = np.sort([battery("".join(signs[r.integers(0, len(signs), length)])) for _ in range(SIMULATED)])
+    return _simulated[alphabet, length]
+
+
+def calibrate() -> None:
+    """Simulates all alphabets and lengths, so that tasks get the results with their code."""
+    for _, alphabet in _ALPHABETS:
+        for length in LENGTHS:
+            simulated(alphabet, length)
+
+
+def randomness(token: str) -> float:
+    """The p-value of a token: the share of simulated random ones whose tests sum to no less, beyond all of them falling
+    as an exponential tail does; small for tokens that are not random."""
+    _, alphabet = encoding_of(token)
+    null = simulated(alphabet, max(x for x in LENGTHS if x <= max(len(token), LENGTHS[0])))
+    x = battery(token)
+    above = len(null) - int(np.searchsorted(null, x))
+    return (above + 0.5) / (len(null) + 1) if above else 0.5 / (len(null) + 1) * math.exp(min(0.0, float(null[-1]) - x))
 
 
 def band_of(length: int) -> int:
@@ -120,9 +172,12 @@ def scan(texts: list[bytes]) -> Iterator[tuple[list[tuple[int, int, int]], list[
     for i, text in enumerate(texts):
         runs = [(int(s - at[i]), int(e - at[i])) for s, e in zip(a[first[i] : first[i + 1]], z[first[i] : first[i + 1]])]
         base = base_spans(text, runs)
+        starts = [x for x, _, _ in base]
+        ends = list(accumulate((y for _, _, y in base), max))  # the farthest end so far
         found = []
         for s, e in runs:
-            if not any(s < y and x < e for x, _, y in base):
+            before = bisect_left(starts, e)  # spans that begin before the run's end
+            if not before or ends[before - 1] <= s:
                 found.append((s, e, band_of(e - s), randomness(text[s:e].decode())))
         yield base, found
 
@@ -149,7 +204,8 @@ def thresholds(docs: DataFrame) -> list[float]:
         if seen:
             yield sent(seen)
 
-    tokens = docs.select("text").mapInArrow(distinct, "token binary, band int, bin int").distinct()
+    calibrate()
+    tokens = docs.select("text").mapInArrow(task(distinct), "token binary, band int, bin int").distinct()
     counts = np.zeros((len(BANDS), BINS))
     for r in tokens.groupBy("band", "bin").agg(F.count("*").alias("n")).collect():
         counts[r["band"], r["bin"]] = r["n"]
@@ -204,11 +260,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append((i, *(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), written(spans), score))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _OUT.types)], schema=_OUT)
 
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, score double")
+    return rows.mapInArrow(task(run), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, score double")
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with each span of a text replaced by mask and length_col, if there is one, set anew; no row goes."""
+    """docs with each span of a text replaced by mask and length_col, if there is one, set anew; no row goes.
+
+    A null text stays null and an empty one empty; spans that touch or overlap are masked once each; equal texts are masked alike.
+    """
     least = thresholds(text_rows(docs, id_col, text_col))
     schema = docs.schema
     place = schema.fieldNames().index(text_col)
@@ -235,4 +294,4 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", id_col: str = "doc_id", te
                 columns[k] = pa.array(lengths, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)

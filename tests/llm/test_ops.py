@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -636,6 +637,50 @@ def test_features_stay_in_words():
     assert at.tolist()[1] == at.tolist()[2] and sorted(a[: at[1]]) == sorted(a[at[2] :])
 
 
+def test_predictions_by_a_plain_loop(spark, monkeypatch):
+    texts, langs = language_id.sample(languages(spark))
+    model = language_id.train(texts, langs)
+    step, mask = [int(x) for x in language_id._STEP], (1 << 64) - 1
+    bits = 64 - language_id.BUCKETS.bit_length() + 1
+
+    def slow(text):
+        raw = b" " + text + b"    "
+        space = [b in b" \t\n\v\f\r" for b in raw]
+        low = [32 if s else b + 32 if 65 <= b <= 90 else b for b, s in zip(raw, space)]
+        rows = []
+        for i in range(len(raw) - 4):
+            h = 0
+            for k in range(1, 5):
+                h = (h + int(language_id._TABLE[low[i + k - 1]])) * step[k - 1] & mask
+                if not (space[i] and space[i + k - 1]) and not any(space[i + 1 : i + k - 1]):
+                    rows.append(model.table[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> bits].astype(float))
+        z = [(sum(r[k] for r in rows) / max(1, len(rows)) + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
+        e = [math.exp(x - max(z)) for x in z]
+        return model.langs[max(range(len(e)), key=e.__getitem__)], max(e) / sum(e)
+
+    some = [*texts[:25], "größe  Niño\n\tx".encode(), b"a", b"A b C d"]
+    for size in (language_id.SLICE, 40):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        monkeypatch.setattr(language_id.parts, "__defaults__", (size,))
+        for t, (lang, score, _) in zip(some, language_id.predict(model, some)):
+            want = slow(t)
+            assert lang == want[0] and score == pytest.approx(want[1], abs=1e-6)
+
+
+def test_language_of_a_long_text(spark):
+    """Ten megabytes are a matter of slices, and an id that repeats doesn't swell the sample."""
+    docs = languages(spark).withColumn("table", F.lit("x")).withColumn("place", F.lit(1))
+    model = language_id.train(*language_id.sample(docs))
+    text = " ".join(r.text for r in docs.filter("lang = 'en' AND text IS NOT NULL").collect()).encode()
+    long = text * (10_000_000 // len(text)) + b"x" * 600_000
+    tracemalloc.start()
+    ((lang, score, ok),) = language_id.predict(model, [long])
+    assert (lang, ok) == ("en", True) and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    many = docs.union(docs.filter("doc_id = 3").select(*docs.columns).crossJoin(spark.range(3000)).drop("id"))
+    assert len(language_id.sample(many, most=100)[0]) <= 300
+
+
 # --- op9
 
 
@@ -747,6 +792,38 @@ def test_copies_of_a_token_count_once(spark):
     assert secrets.find_secrets(copies).filter("doc_id >= 400 AND n_random = 1").count() == 4000
 
 
+def test_p_values_are_uniform():
+    """Random tokens of every alphabet and of lengths between the simulated ones."""
+    r = random.Random(2)
+    for _, alphabet in secrets._ALPHABETS:
+        for n in (20, 30, 45, 100):
+            tokens = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(150)]
+            p = sorted(secrets.randomness(t) for t in tokens if secrets.encoding_of(t)[1] == alphabet)
+            assert max(abs(x - (k + 0.5) / len(p)) for k, x in enumerate(p)) < 1.9 / math.sqrt(len(p)), (alphabet, n)
+
+
+def test_random_spans_by_a_plain_loop(spark):
+    """Candidates are the long runs that touch no base span, whatever their number; a long text is no square of work."""
+    r = random.Random(4)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = []
+    for _ in range(20_000):
+        t = "".join(r.choice(b62) for _ in range(r.randrange(15, 40)))
+        parts.append(r.choice((t, f"token={t}", "AKIA" + "Z" * 20, "deadbeef" * 4, f"secret: x/{t}+y", "word")))
+    text = " ".join(parts).encode()
+    began = time.monotonic()
+    ((base, found),) = secrets.scan([text])
+    assert time.monotonic() - began < 30
+    short = text[:20_000].rsplit(b" ", 1)[0]
+    ((base, found),) = secrets.scan([short])
+    runs = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z+/_-]+", short) if m.end() - m.start() >= 20]
+    want = [(s, e) for s, e in runs if not any(s < y and x < e for x, _, y in base)]
+    assert [(s, e) for s, e, *_ in found] == want and len(want) > 50
+    least = [0.1] * len(secrets.BANDS)
+    ((spans, _),) = secrets.spans_of([short], least)
+    assert [(s, e) for s, k, e in spans if k == 3] == [(s, e) for s, e in want if secrets.randomness(short[s:e].decode()) >= 0.1]
+
+
 def test_randomness():
     r = random.Random(1)
     p = [secrets.randomness("".join(r.choice("0123456789abcdef") for _ in range(40))) for _ in range(300)]
