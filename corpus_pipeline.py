@@ -14,24 +14,31 @@ from coinstrata.llm.secrets import redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected: without letters, or with no language likely."""
+    """Drops documents whose language is rejected: without letters, or with no language likely.
+
+    So null and empty texts go.  Null or repeated ids don't matter: each row is judged by its text.  No rows give no rows.
+    """
     return keep_accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of equal texts: the largest id."""
+    """Keeps one of each group of equal texts: the row with the largest id, a null one only where there is no other.
+
+    A null text counts as empty; of rows that also share the id any one stays.  Rows go by id and text together.
+    """
     return keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of each group of near duplicates: the least id, a null one only where there is no other.
 
-    Rows are known by their text's hash, as no two of them have equal texts here; ids may be null or repeat.
+    Rows are known by their text's hash, as no two of them have equal texts here; ids may be null or repeat, and of equal ids
+    the least hash stays.  Null, empty and white texts are near to nothing and stay.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     groups = near_groups(docs.select(key.alias("key"), "text"), id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("root"))
     others = materialize(groups.filter("key <> root").distinct())
-    members = materialize(others.union(others.select("root", "root").distinct()))
+    members = others.union(others.select("root", "root").distinct())
     ids = docs.select("doc_id", key.alias("key")).join(small_side(members), "key")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     gone = materialize(members.join(best, "root").filter("key <> best.key").select(F.col("key").alias("_gone")))
@@ -39,12 +46,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in texts; no document goes."""
+    """Masks secrets in texts; no document goes.  A null text stays null; the length column follows the text."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows."""
+    """Packs what is left into windows, a row a piece; a null or empty text is its end alone."""
     return pack_documents(docs)
 
 
