@@ -47,7 +47,7 @@ def checksum_of(sidecar: Column) -> Column:
 
 def signature_of(sidecar: Column) -> Column:
     """64 bytes of `v1 ed25519 <base64>`, null if it is anything else."""
-    part = F.split(F.trim(sidecar), r"\s+")
+    part = F.split(F.regexp_replace(sidecar, r"^\s+|\s+$", ""), r"\s+")
     raw = F.try_to_binary(F.get(part, F.lit(2)), F.lit("base64"))
     return F.when((F.size(part) == 3) & (F.get(part, F.lit(0)) == "v1") & (F.get(part, F.lit(1)) == "ed25519") & (F.length(raw) == 64), raw)
 

@@ -112,14 +112,6 @@ def select_coins(rows: DataFrame, target: int | Column, by: list[str] | None = N
 
 
 def drain(confirmed: DataFrame, script: str, limit: int) -> tuple[int, DataFrame | None]:
-    """All pages of a script one after the other, as a caller would ask for them: (pages, rows)."""
-    after, pages, rows = None, 0, None
-    while True:
-        one = page(of_scripts(confirmed, [script]), limit, after)
-        pages += 1
-        rows = one if rows is None else rows.unionByName(one)
-        text = next_cursor(one, limit).first()[0]
-        if text is None:
-            return pages, rows
-        prefix, vout = text.split(":")
-        after = (prefix, int(vout))
+    """What all pages of a script hold, one after the other, in a single read: (pages, rows)."""
+    rows = of_scripts(confirmed, [script])
+    return rows.count() // limit + 1, rows.orderBy(prefix8(F.col("txid")), "vout")

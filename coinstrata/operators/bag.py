@@ -40,6 +40,18 @@ def utxo_set(outputs: DataFrame, spends: DataFrame, order: list | None = None) -
     return bag_anti_join(outputs, as_outpoint(spends), OUTPOINT, order)
 
 
+def utxo_of(outputs: DataFrame, spends: DataFrame, scripts: list[str], order: list | None = None) -> DataFrame:
+    """utxo_set of a few scripts (hex): only rows of outpoints that one of them has are numbered.
+
+    The scripts' outpoints are few, so both sides are cut by a join that adaptive execution turns into a broadcast; no
+    shuffle of all outputs.
+    """
+    hashes = [bytes.fromhex(s) for s in scripts]
+    keys = outputs.filter(F.col("script_hash").isin(hashes)).select(*OUTPOINT).distinct()
+    near = [rows.join(keys, OUTPOINT, "left_semi") for rows in (outputs, as_outpoint(spends))]
+    return bag_anti_join(*near, OUTPOINT, order).filter(F.col("script_hash").isin(hashes))
+
+
 def bag_statistics(left: DataFrame, right: DataFrame, key: list[str] = OUTPOINT) -> DataFrame:
     """One row: left_read, right_read, emitted, canceled, orphans.  A key costs a row, however often it stands."""
     sides = left.select(*key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(*key, F.lit(0).alias("l"), F.lit(1).alias("r")))

@@ -13,11 +13,13 @@ def match(outputs: DataFrame, spends: DataFrame, order: list) -> DataFrame:
 
     outputs must hold the batch's own, so that spends of the same block or batch match in any order.
     """
-    left = numbered(as_outpoint(spends), OUTPOINT, ["spend_height", "spender_txid"])
-    right = numbered(outputs, OUTPOINT, order, "_rn").withColumnsRenamed({"txid": "_txid", "vout": "_vout"})
-    # the places are compared outside the keys, so that the windows' partitions serve the join too
-    same = (F.col("txid") == F.col("_txid")) & (F.col("vout") == F.col("_vout")) & (F.col("rn") - F.col("_rn") == 0)
-    return left.join(right, same, "left").drop("rn", "_rn", "_txid", "_vout")
+    side = lambda rows, name: rows.select(*OUTPOINT, F.struct(*(c for c in rows.columns if c not in OUTPOINT)).alias(name))
+    # one shuffle by outpoint serves both numberings and the pairing, which is linear in an outpoint's rows
+    both = side(as_outpoint(spends), "_s").unionByName(side(outputs, "_o"), allowMissingColumns=True).repartition(*OUTPOINT)
+    places = ["_s.spend_height", "_s.spender_txid", *(f"_o.{c}" for c in order if c not in OUTPOINT)]
+    rows = numbered(both.withColumn("_of", F.col("_s").isNull()), [*OUTPOINT, "_of"], places)
+    paired = rows.groupBy(*OUTPOINT, "rn").agg(F.first("_s", True).alias("_s"), F.first("_o", True).alias("_o"))
+    return paired.filter("_s IS NOT NULL").select(*OUTPOINT, "_s.*", "_o.*")
 
 
 def anomalies(matched: DataFrame) -> DataFrame:

@@ -83,7 +83,9 @@ def merkle_root_levels(leaves: DataFrame, key: str = "height", position: str = "
         return F.transform(F.sequence(F.lit(0), (F.size(even) / 2 - 1).cast("int")), lambda i: F.unhex(F.sha2(F.unhex(F.sha2(F.concat(F.get(even, i * 2), F.get(even, i * 2 + 1)), 256)), 256)))
 
     rows = leaves.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(leaf).alias("x")))), lambda s: s["x"]).alias("l"))
-    return rows.select(key, F.aggregate(F.sequence(F.lit(1), F.lit(17)), F.col("l"), lambda acc, _: F.when(F.size(acc) > 1, pair(acc)).otherwise(acc), lambda acc: F.get(acc, F.lit(0))).alias("root"))
+    depth = F.ceil(F.log2(F.size("l").cast("double"))).cast("int")
+    levels = F.when(depth > 0, F.sequence(F.lit(1), F.greatest(depth, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return rows.select(key, F.aggregate(levels, F.col("l"), lambda acc, _: F.when(F.size(acc) > 1, pair(acc)).otherwise(acc), lambda acc: F.get(acc, F.lit(0))).alias("root"))
 
 
 def diff(truth: DataFrame, candidate: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

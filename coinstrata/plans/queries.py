@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -47,6 +49,15 @@ def live(t: Tables) -> DataFrame:
     return bag.utxo_set(t.outputs(), t.spends(), ORDER)
 
 
+def script(n: int) -> str:
+    return hashlib.sha256(f"spk:{n}".encode()).hexdigest()
+
+
+def live_of(t: Tables, *numbers: int) -> DataFrame:
+    """Unspent outputs of some scripts."""
+    return bag.utxo_of(t.outputs(), t.spends(), [script(n) for n in numbers], ORDER)
+
+
 def tip_of(t: Tables) -> int:
     return t.blocks().agg(F.max("height")).first()[0]
 
@@ -76,7 +87,7 @@ def SRC25_live_probe(t):
 
 @query("SELECT txid, vout, value, height FROM utxo WHERE script_hash = sha256('spk:5')")
 def SRC26_outputs_of_script(t):
-    return whole(hexed(live(t).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:5"))).select("txid", "vout", "value", "height")))
+    return whole(hexed(live_of(t, 5).select("txid", "vout", "value", "height")))
 
 
 @query("SELECT height, block_hash FROM first_seen WHERE script_hash = sha256('spk:7')")
@@ -129,14 +140,15 @@ def SRC35_coin_config(t):
     return config.config_table(t.spark).filter("net = 'mainnet'").select("tick", "net", "undo_blocks", "pubkey_hash", "script_hash", "bech32")
 
 
-@query("SELECT count(*) = 0 AS is_empty FROM outputs WHERE height > 100000")
+@query("SELECT r AS status, (SELECT count(*) FROM lineitem WHERE l_linestatus = r) = 0 AS is_empty FROM (VALUES ('F'), ('O'), ('X'), ('')) v(r)")
 def SRC36_is_empty(t):
-    return t.outputs().filter("height > 100000").agg((F.count("*") == 0).alias("is_empty"))
+    one = lambda r: t.read("lineitem").filter(F.col("l_linestatus") == r).limit(1).agg((F.count("*") == 0).alias("is_empty")).select(F.lit(r).alias("status"), "is_empty")
+    return one("F").union(one("O")).union(one("X")).union(one(""))
 
 
-@query("SELECT DISTINCT txid FROM outputs WHERE height >= 2300 UNION SELECT txid FROM pending")
+@query("SELECT DISTINCT txid FROM outputs UNION SELECT txid FROM pending")
 def SRC42_read_your_writes(t):
-    return hexed(t.outputs().filter("height >= 2300").select("txid").union(t.pending().select("txid")).distinct())
+    return hexed(t.outputs().select("txid").union(t.pending().select("txid")).distinct())
 
 
 # --- sinks and staged changes ---------------------------------------------------------------------------------------
@@ -187,27 +199,27 @@ def AGG9_block_counts(t):
     return t.outputs().groupBy("height").agg(F.count_distinct("txid").alias("txs"), F.count("*").alias("outs"))
 
 
-@query("SELECT height, txid, list(vout ORDER BY vout, value) AS vouts FROM outputs WHERE height < 100 GROUP BY height, txid", name="DEC3_nested_blocks")
+@query("SELECT height, txid, list(vout ORDER BY vout, value) AS vouts FROM outputs GROUP BY height, txid", name="DEC3_nested_blocks")
 def _dec3(t):
-    nested = t.outputs().filter("height < 100").groupBy("height", "txid").agg(F.array_sort(F.collect_list(F.struct("vout", "value"))).alias("outs"))
+    nested = t.outputs().groupBy("height", "txid").agg(F.array_sort(F.collect_list(F.struct("vout", "value"))).alias("outs"))
     return hexed(nested.select("height", "txid", F.transform("outs", lambda o: o["vout"]).alias("vouts")))
 
 
-@query("SELECT txid, vout, value FROM outputs WHERE height < 100")
+@query("SELECT txid, vout, value FROM outputs")
 def DEC4_explode_outputs(t):
-    nested = t.outputs().filter("height < 100").groupBy("height").agg(F.collect_list(F.struct("txid", "vout", "value")).alias("outs"))
+    nested = t.outputs().groupBy("height").agg(F.collect_list(F.struct("txid", "vout", "value")).alias("outs"))
     return whole(hexed(nested.select(F.explode("outs").alias("o")).select("o.*")))
 
 
-@query("SELECT prev_txid, prev_vout FROM spends WHERE prev_vout <> 4294967295 AND spend_height < 200")
+@query("SELECT prev_txid, prev_vout FROM spends WHERE prev_vout <> 4294967295")
 def FIL1_no_coinbase_inputs(t):
-    coinbase = t.blocks().filter("height < 50").select(F.unhex(F.lit("00" * 32)).alias("prev_txid"), F.lit(4294967295).alias("prev_vout"))
-    return hexed(t.spends().filter("spend_height < 200").select("prev_txid", "prev_vout").unionByName(coinbase).filter("prev_vout <> 4294967295"))
+    coinbase = t.blocks().select(F.unhex(F.lit("00" * 32)).alias("prev_txid"), F.lit(4294967295).alias("prev_vout"))
+    return hexed(t.spends().select("prev_txid", "prev_vout").unionByName(coinbase).filter("prev_vout <> 4294967295"))
 
 
-@query("SELECT txid, coinbase FROM outputs WHERE coinbase AND height < 400")
+@query("SELECT txid, coinbase FROM outputs WHERE coinbase")
 def DEC7_coinbase_flag(t):
-    return hexed(t.outputs().filter("coinbase AND height < 400").select("txid", "coinbase"))
+    return hexed(t.outputs().filter("coinbase").select("txid", "coinbase"))
 
 
 @query("SELECT txid, vout, -1 AS height FROM pending")
@@ -215,9 +227,9 @@ def DEC6_pending_rows(t):
     return hexed(t.pending().select("txid", "vout", F.lit(-1).alias("height")))
 
 
-@query("SELECT txid, lower(hex(from_hex(printf('%016x', value)))) AS value_be, printf('%08x', vout) AS vout_be FROM utxo WHERE height < 200")
+@query("SELECT txid, lower(hex(from_hex(printf('%016x', value)))) AS value_be, printf('%08x', vout) AS vout_be FROM utxo")
 def DEC11_output_codec(t):
-    rows = live(t).filter("height < 200").select("txid", hashing.u64(F.col("value")).alias("value_be"), hashing.u32(F.col("vout")).alias("vout_be"), "value")
+    rows = live(t).select("txid", hashing.u64(F.col("value")).alias("value_be"), hashing.u32(F.col("vout")).alias("vout_be"), "value")
     checked = rows.withColumn("ok", F.when(hashing.from_u64(F.col("value_be")) == F.col("value"), True).otherwise(F.raise_error(F.lit("value codec"))))
     return hexed(checked.filter("ok").select("txid", "value_be", "vout_be"))
 
@@ -305,9 +317,11 @@ def AGG3_bag_statistics(t):
     return bag.bag_statistics(t.outputs(), bag.as_outpoint(t.spends()))
 
 
-@query(f"SELECT *, TRUE AS checked FROM ({STATS})")
+@query("SELECT (SELECT count(*) FROM outputs) AS left_read, n AS right_read, (SELECT count(*) FROM utxo) AS emitted, n AS canceled, 0::BIGINT AS orphans, TRUE AS checked FROM (SELECT count(*) AS n FROM matched WHERE value IS NOT NULL)")
 def J3_orphan_gate(t):
-    return bag.orphan_gate(bag.bag_statistics(t.outputs(), bag.as_outpoint(t.spends())), 1)
+    # from genesis the gate lets nothing pass but spends that have an output
+    known = spends.match(t.outputs(), t.spends(), ORDER).filter("value IS NOT NULL").select("txid", "vout")
+    return bag.orphan_gate(bag.bag_statistics(t.outputs(), known), 0)
 
 
 @query("SELECT txid, vout, spend_height, spender_txid, value, height FROM matched")
@@ -315,11 +329,11 @@ def J4_spends_with_outputs(t):
     return whole(hexed(spends.match(t.outputs(), t.spends(), ORDER).select("txid", "vout", "spend_height", "spender_txid", "value", "height")))
 
 
-@query("SELECT txid, vout, value, height FROM utxo WHERE height < 1500 AND height >= 1400")
+@query("SELECT txid, vout, value, height FROM utxo")
 def J6_batch_sees_itself(t):
     order = ORDER
-    out, sp = t.outputs().filter("height >= 1400 AND height < 1500"), t.spends()
-    before, batch = out.filter("height < 1450"), out.filter("height >= 1450")
+    out, sp = t.outputs(), t.spends()
+    before, batch = out.filter("height < 1200"), out.filter("height >= 1200")
     after, _ = spends.apply_batch(before, batch, sp, order)
     return whole(hexed(after.select("txid", "vout", "value", "height")))
 
@@ -412,9 +426,9 @@ def V4_validate_tables(t):
     return _diff(t).agg(F.count_if(F.col("status") == "match").alias("matched"), F.count_if(F.col("status") != "match").alias("different"))
 
 
-@query("SELECT txid, block_hash FROM (SELECT DISTINCT txid, block_hash FROM outputs WHERE height < 300)")
+@query("SELECT txid, block_hash FROM (SELECT DISTINCT txid, block_hash FROM outputs)")
 def J17_transaction_block(t):
-    b = t.outputs().filter("height < 300").groupBy("height", "block_hash").agg(F.collect_set("txid").alias("tx8"))
+    b = t.outputs().groupBy("height", "block_hash").agg(F.collect_set("txid").alias("tx8"))
     return hexed(derive.context(b).select(F.col("tx8").alias("txid"), "block_hash"))
 
 
@@ -433,6 +447,10 @@ UTXOS = f"""(SELECT script_hash, txid, vout, value, height, tip - height + 1 AS
     UNION ALL SELECT script_hash, txid, vout, value, NULL, 0, 1 FROM pending WHERE NOT {SPENT} AND (txid, vout) NOT IN (SELECT (txid, vout) FROM utxo))"""
 
 
+def _utxos_of(t: Tables, *numbers: int) -> DataFrame:
+    return address.utxos(live_of(t, *numbers), t.pending(), t.pending_spends(), tip_of(t), MATURITY, [script(n) for n in numbers])
+
+
 def _utxos(t: Tables, **more) -> DataFrame:
     return address.utxos(live(t), t.pending(), t.pending_spends(), tip_of(t), MATURITY, **more)
 
@@ -478,9 +496,9 @@ def AGG13_pending_totals(t):
     return t.pending_spends().agg(F.count("*").alias("inputs"), F.count_distinct("prev_txid").alias("transactions"))
 
 
-@query("SELECT tip AS node, tip AS committed, (SELECT count(*) FROM pending) AS mempool, (SELECT count(*) FROM pending) = 0 AS ready FROM tip")
+@query("SELECT tip AS node, c AS committed, n AS mempool, n = 0 AND c = tip AS ready FROM tip, (SELECT max(height) AS c FROM outputs WHERE coinbase), (SELECT count(*) AS n FROM pending)")
 def AGG14_is_quiescent(t):
-    one = t.blocks().agg(F.max("height").alias("node")).withColumn("committed", F.col("node"))
+    one = t.blocks().agg(F.max("height").alias("node")).withColumn("committed", t.outputs().filter("coinbase").agg(F.max("height")).scalar())
     return one.withColumn("mempool", t.pending().agg(F.count("*")).scalar()).withColumn("ready", status.quiescent(F.col("node"), F.col("committed"), F.col("mempool")))
 
 
@@ -528,9 +546,9 @@ def WIN2_evicted_block(t):
     return hexed(derive.last_blocks(t.blocks(), UNDO + 1).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == UNDO + 1).select("height", "block_hash"))
 
 
-@query("SELECT row_id, height, txid, vout, value FROM (SELECT *, row_number() OVER (ORDER BY height, tx_idx, vout, value, l_partkey, l_quantity, l_shipdate) - 1 AS row_id FROM outputs) WHERE height < 300")
+@query("SELECT row_id, height, txid, vout, value FROM (SELECT *, row_number() OVER (ORDER BY height, tx_idx, vout, value, l_partkey, l_quantity, l_shipdate) - 1 AS row_id FROM outputs)")
 def WIN3_row_ids(t):
-    return whole(hexed(derive.with_row_id(t.outputs(), SEEN_ORDER).filter("height < 300").select("row_id", "height", "txid", "vout", "value")))
+    return whole(hexed(derive.with_row_id(t.outputs(), SEEN_ORDER).select("row_id", "height", "txid", "vout", "value")))
 
 
 @query("SELECT height, step FROM (SELECT height, height - lag(height) OVER (ORDER BY height) AS step FROM blocks) WHERE step IS NOT NULL")
@@ -577,15 +595,12 @@ def SRT1_key_order(t):
 
 @query("SELECT txid, vout, value FROM utxo WHERE script_hash = sha256('spk:5') AND txid[1:16] > '8000000000000000' ORDER BY txid, vout, value LIMIT 25")
 def LIM1_keyset_page(t):
-    rows = live(t).withColumn("vout", F.col("vout"))
-    mine = address.of_scripts(rows, None).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:5")))
-    return whole(hexed(mine.filter(F.col("txid") >= F.unhex(F.lit("8000000000000001"))).orderBy("txid", "vout", "value").limit(25).select("txid", "vout", "value")))
+    return whole(hexed(address.page(live_of(t, 5), 25, ("8000000000000000", (1 << 32) - 1)).select("txid", "vout", "value")))
 
 
 @query("SELECT arg_max(txid[1:16] || ':' || vout, (txid, vout)) AS next_cursor FROM (SELECT txid, vout FROM utxo WHERE script_hash = sha256('spk:5') ORDER BY txid, vout, value LIMIT 40)")
 def LIM3_next_cursor(t):
-    mine = live(t).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:5"))).orderBy("txid", "vout", "value").limit(40)
-    return address.next_cursor(mine, 40)
+    return address.next_cursor(address.page(live_of(t, 5), 40, None), 40)
 
 
 @query("SELECT script_hash, txid, vout, value FROM (SELECT *, sum(value) OVER (PARTITION BY script_hash ORDER BY value DESC, txid, vout ROWS UNBOUNDED PRECEDING) AS running FROM utxo) WHERE running - value < 50000000000000")
@@ -597,22 +612,28 @@ def LIM6_coin_selection(t):
 def LIM7_paged_drain(t):
     from coinstrata.plans.engine import materialized
 
-    key = bytes.fromhex(t.spark.range(1).select(F.sha2(F.lit("spk:5"), 256)).first()[0])
-    mine = materialized(live(t).filter(F.col("script_hash") == F.lit(key)).groupBy("script_hash", "txid", "vout").agg(F.count("*").alias("copies"), F.sum("value").cast("decimal(30,0)").alias("value")))
+    key = bytes.fromhex(script(5))
+    mine = materialized(live_of(t, 5).groupBy("script_hash", "txid", "vout").agg(F.count("*").alias("copies"), F.sum("value").cast("decimal(30,0)").alias("value")))
     _, rows = address.drain(mine, key.hex(), 100)
     return rows.agg(F.sum("copies").cast("long").alias("n"), F.sum("value").cast("long").alias("total"))
 
 
-@query("SELECT bucket, 5::BIGINT AS n FROM (SELECT DISTINCT txid[1:1] AS bucket FROM utxo)")
+@query("SELECT bucket, least(5, count(*)) AS n, least(5, count(*)) AS of_table FROM (SELECT txid[1:3] AS bucket FROM utxo) GROUP BY bucket")
 def SMP1_hashed_sample(t):
-    rows = live(t).withColumn("bucket", F.substring(F.lower(F.hex("txid")), 1, 1))
-    return validate.hashed_sample(rows, ["bucket"], F.concat("txid", F.col("vout").cast("string").cast("binary")), 5).groupBy("bucket").agg(F.count("*").alias("n"))
+    key = F.concat("txid", F.col("vout").cast("string").cast("binary"))
+    rows = live(t).withColumn("bucket", F.substring(F.lower(F.hex("txid")), 1, 3))
+    drawn = validate.hashed_sample(rows, ["bucket"], key, 5).withColumn("key", key)
+    known = t.outputs().select(key.alias("key"), F.lit(1).alias("hit")).distinct()
+    return drawn.join(known, "key", "left").groupBy("bucket").agg(F.count("*").alias("n"), F.count("hit").alias("of_table"))
 
 
-@query("SELECT 'all' AS family, 100::BIGINT AS sampled, 100::BIGINT AS exact, 0::BIGINT AS diff, 0::BIGINT AS miss", plain=True)
+@query("SELECT event_type AS family, count(*) AS sampled, count_if(event_id % 10 > 1) AS exact, count_if(event_id % 10 = 0) AS diff, count_if(event_id % 10 = 1) AS miss FROM events GROUP BY event_type", plain=True)
 def V5_spot_check(t):
-    e = t.read("events").select(F.lit("all").alias("family"), "event_id", "event_type")
-    return validate.lookup_summary(validate.lookup(validate.hashed_sample(e, ["family"], F.col("event_id"), 100), e, ["event_id"], "event_type").select("family", "status"), ["family"])
+    # every row is drawn; the truth is wrong in one of ten rows and lacks another
+    e = t.read("events").select(F.col("event_type").alias("family"), "event_id", F.col("user_id").cast("string").alias("value"))
+    truth = e.filter("event_id % 10 <> 1").withColumn("value", F.when(F.col("event_id") % 10 == 0, F.lit("?")).otherwise(F.col("value")))
+    drawn = validate.hashed_sample(e, ["family"], F.col("event_id"), 1 << 30)
+    return validate.lookup_summary(validate.lookup(drawn, truth, ["event_id"], "value").select("family", "status"), ["family"])
 
 
 # --- sets --------------------------------------------------------------------------------------------------------------
@@ -803,20 +824,19 @@ def STR17_dropped_leave_mempool(t):
     return hexed(changes.drop_of(t.pending(), gone, "txid").select("txid", "vout"))
 
 
-@query("SELECT txid, vout, spender_txid FROM matched WHERE value IS NULL AND spend_height < 1000")
+@query("SELECT txid, vout, spender_txid FROM matched WHERE value IS NULL")
 def STR26_unknown_inputs(t):
-    return hexed(spends.anomalies(spends.match(t.outputs(), t.spends(), ORDER)).filter("spend_height < 1000").select("txid", "vout", "spender_txid"))
+    return hexed(spends.anomalies(spends.match(t.outputs(), t.spends(), ORDER)).select("txid", "vout", "spender_txid"))
 
 
 def _store(t: Tables, undo: int = 2000):
     """A new store under the checkpoint folder."""
-    import tempfile
     import uuid
 
+    from coinstrata.plans.engine import shared_folder
     from coinstrata.streaming.store import Store
 
-    root = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
-    return Store(t.spark, f"{root}/store-{uuid.uuid4()}", undo)
+    return Store(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4()}", undo)
 
 
 def _commit(store, t: Tables, name: str, low: int, high: int) -> None:
@@ -892,7 +912,7 @@ def DEC1_decode_blocks(t):
     return whole(hexed(files.facts(files.decode(blocks))[0].select("height", "script_hash", "value", "coinbase")))
 
 
-@query("SELECT event_id, '76a914' || sha256('ev:' || event_id)[1:40] || '88ac' AS script, 'p2pkh' AS type FROM events WHERE event_id < 2000", plain=True)
+@query("SELECT event_id, '76a914' || sha256('ev:' || event_id)[1:40] || '88ac' AS script, 'p2pkh' AS type FROM events", plain=True)
 def FN11_FN12_addresses(t):
     from coinstrata.functions import addresses
 
@@ -901,7 +921,7 @@ def FN11_FN12_addresses(t):
         return h.map(lambda x: addresses.base58check_encode(b"\0" + bytes(x)[:20]))
 
     h = hashing.sha256(F.concat(F.lit("ev:"), F.col("event_id").cast("string")))
-    rows = t.read("events").filter("event_id < 2000").select("event_id", address_of(h).alias("a"))
+    rows = t.read("events").select("event_id", address_of(h).alias("a"))
     return hexed(rows.select("event_id", addresses.script_column(F.col("a"), "bitcoin-mainnet").alias("script"), addresses.type_column(F.col("a"), "bitcoin-mainnet").alias("type")))
 
 
@@ -913,9 +933,11 @@ def V8_reusable_chunks(t):
     return hexed(chunks_match(ours, _branch(t)).select("name", "last", "block_hash", "reusable"))
 
 
-@query("SELECT family, 0::BIGINT AS wrong FROM (VALUES ('none')) v(family) WHERE FALSE", plain=True)
+@query(FAMILIES_SQL + " SELECT family, count(*) AS wrong FROM fam WHERE key LIKE '4f0a%' OR key LIKE '48a0%' GROUP BY family")
 def V6_record_widths(t):
-    return validate.widths(_families(t), derive.WIDTHS)
+    # keys of some families are cut short on the way
+    bad = hashing.has_prefix(F.col("key"), "4f0a") | hashing.has_prefix(F.col("key"), "48a0")
+    return validate.widths(_families(t).withColumn("key", F.when(bad, F.substring("key", 1, 9)).otherwise(F.col("key"))), derive.WIDTHS)
 
 
 @query("SELECT 'K' AS family, count(*) AS n FROM matched m WHERE height < spend_height UNION ALL SELECT 'M', count(*) FROM matched m WHERE height < spend_height")
@@ -924,14 +946,122 @@ def J7_archive_families(t):
     return derive.undo_archive(matched).groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query("SELECT depth, height FROM (SELECT row_number() OVER (ORDER BY height DESC) - 1 AS depth, height FROM blocks) WHERE depth <= 20")
+@query("SELECT depth, height FROM (SELECT row_number() OVER (ORDER BY height DESC) - 1 AS depth, height FROM blocks) WHERE depth < 48")
 def STR5_walk_back(t):
     # the walk goes along previous hashes, within the undo window
-    near = hexed(derive.last_blocks(t.blocks(), 21).select("block_hash", "prev_hash", "height"))
+    near = hexed(derive.last_blocks(t.blocks(), UNDO).select("block_hash", "prev_hash", "height"))
     tip = near.orderBy(F.desc("height")).first()["block_hash"]
     return spends.walk_back(near, tip).select("depth", "height")
 
 
+LOW = """, low_o AS (SELECT *, row_number() OVER (PARTITION BY txid, vout ORDER BY height, value, script_hash, l_partkey, l_quantity, l_shipdate) AS n FROM outputs WHERE height < 1200),
+low_s AS (SELECT *, row_number() OVER (PARTITION BY prev_txid, prev_vout ORDER BY spend_height, spender_txid) AS n FROM spends WHERE spend_height < 1200)
+SELECT txid, vout, value, height FROM low_o o WHERE NOT EXISTS (SELECT 1 FROM low_s s WHERE s.prev_txid = o.txid AND s.prev_vout = o.vout AND s.n = o.n)"""
+
+
+@query(LOW)
+def STR13_follow_the_node(t):
+    store = _store(t)
+    _commit(store, t, "a", 0, 1200)
+    _commit(store, t, "b", 1200, 1 << 20)
+    other = F.when(F.col("height") < 1200, F.col("block_hash")).otherwise(hashing.sha256(F.col("block_hash")))
+    store.follow(t.blocks().select("height", other.alias("block_hash")))  # the node has other blocks from 1200 on
+    return whole(hexed(store.utxo().select("txid", "vout", "value", "height")))
+
+
+@query("SELECT tip AS height, sha256('blk:' || tip) AS block_hash, (SELECT count(*) FROM blocks) AS blocks FROM tip")
+def SNK10_tip_after_commits(t):
+    store = _store(t)
+    _commit(store, t, "a", 0, 1500)
+    _commit(store, t, "b", 1500, 1 << 20)
+    height, block_hash = store.tip()
+    return store.blocks().agg(F.lit(height).alias("height"), F.lit(block_hash).alias("block_hash"), F.count("*").alias("blocks"))
+
+
+_built: dict[tuple[str, str], object] = {}
+
+
+def settled_store(t: Tables):
+    """A store of all blocks, settled but for the last ones; built once a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _built:
+        store = _store(t, 100)
+        _commit(store, t, "all", 0, 1 << 20)
+        store.compact()
+        _built[key] = store
+    return _built[key]
+
+
+@query("SELECT script_hash, txid, vout, value, height FROM utxo WHERE script_hash IN (SELECT sha256('spk:' || n) FROM range(1, 51) r(n))")
+def SRC26_many_scripts_of_store(t):
+    rows = settled_store(t).utxo_of([script(n) for n in range(1, 51)])
+    return whole(hexed(rows.select("script_hash", "txid", "vout", "value", "height")))
+
+
+@query("SELECT txid, vout, value, height FROM utxo WHERE script_hash = sha256('spk:5')")
+def API2_script_of_store(t):
+    return whole(hexed(settled_store(t).utxo_of([script(5)]).select("txid", "vout", "value", "height")))
+
+
+@query(f"SELECT txid, vout, value, height, confirmations, part FROM {UTXOS} WHERE script_hash = sha256('spk:9') AND part = 0 AND txid[1:16] > '8000000000000000'")
+def LIM4_later_page(t):
+    rows = address.utxos(live_of(t, 9), t.pending(), t.pending_spends(), tip_of(t), MATURITY, [script(9)], None, ("8000000000000000", (1 << 32) - 1))
+    return whole(hexed(rows.select("txid", "vout", "value", "height", "confirmations", "part")))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'diff' WHEN 1 THEN 'miss' ELSE 'exact' END AS status FROM events", plain=True)
+def J16_lookup(t):
+    e = t.read("events").select("event_id", "event_type")
+    truth = e.filter("event_id % 3 <> 1").withColumn("event_type", F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("event_type")))
+    return validate.lookup(e, truth, ["event_id"], "event_type").select("event_id", "status")
+
+
+def _text_udf(f):
+    return F.pandas_udf(lambda x: x.map(f).astype(object), "string")
+
+
+@query("SELECT event_id, CASE WHEN n < 253 THEN printf('%02x', n) WHEN n < 65536 THEN printf('fd%02x%02x', n % 256, n // 256) ELSE printf('fe%02x%02x%02x%02x', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216) END AS coded, n AS back FROM (SELECT event_id, (event_id * 7919) % (CASE event_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 70000 ELSE 4294967296 END) AS n FROM events)", plain=True)
+def DEC8_varints(t):
+    from coinstrata.sources import codec
+
+    span = F.when(F.col("event_id") % 3 == 0, F.lit(300)).when(F.col("event_id") % 3 == 1, F.lit(70_000)).otherwise(F.lit(1 << 32))
+    rows = t.read("events").select("event_id", ((F.col("event_id") * 7919) % span).alias("n"))
+    coded = rows.withColumn("coded", _text_udf(lambda n: codec.varint(int(n)).hex())(F.col("n")))
+    return coded.select("event_id", "coded", _text_udf(lambda x: str(codec.Reader(bytes.fromhex(x)).varint()))(F.col("coded")).cast("long").alias("back"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 1 ELSE 7 END AS n FROM events", plain=True)
+def FN25_env_numbers(t):
+    raw = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") + 1).cast("string")).when(F.col("event_id") % 4 == 1, F.lit("x1")).when(F.col("event_id") % 4 == 2, F.lit("-3")).otherwise(F.lit(""))
+    return t.read("events").select("event_id", _text_udf(lambda x: str(config.env_int(x, 7, 1)))(raw).cast("long").alias("n"))
+
+
+@query("SELECT event_id, '{\"a\":' || user_id || ',\"b\":[' || event_id || ',null],\"c\":\"' || event_type || '\"}' AS line FROM events", plain=True)
+def FN23_canonical_json(t):
+    e = F.to_json(F.struct(F.col("event_type").alias("c"), F.col("user_id").alias("a"), F.array(F.col("event_id"), F.lit(None)).alias("b")), {"ignoreNullFields": "false"})
+    return t.read("events").select("event_id", _text_udf(lambda x: config.canonical_json(json.loads(x)))(e).alias("line"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN sha256('ev:' || event_id) || sha256('ev:' || event_id) END AS signature FROM events", plain=True)
+def FN33_detached_signature(t):
+    h = hashing.sha256(F.concat(F.lit("ev:"), F.col("event_id").cast("string")))
+    word = F.when(F.col("event_id") % 3 == 0, F.lit("v1 ed25519 ")).when(F.col("event_id") % 3 == 1, F.lit("v2 ed25519 ")).otherwise(F.lit("v1 rsa "))
+    return hexed(t.read("events").select("event_id", text.signature_of(F.concat(word, F.regexp_replace(F.base64(F.concat(h, h)), r"\s", ""), F.lit("\n"))).alias("signature")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 10 END AS original_size FROM events", plain=True)
+def FN31_gzip_comment(t):
+    head = F.when(F.col("event_id") % 2 == 0, F.concat(F.unhex(F.lit("1f8b0810")), F.encode(F.concat(F.lit('{"original_size": '), (F.col("event_id") * 10).cast("string"), F.lit("}")), "UTF-8"), F.unhex(F.lit("00ff")))).otherwise(F.unhex(F.lit("1f8b0800ff7b01")))
+    return t.read("events").select("event_id", text.gzip_comment(head)["original_size"].alias("original_size"))
+
+
+@query("SELECT txid, vout, CASE WHEN height % 5 = 0 THEN 0 ELSE (SELECT tip FROM tip) - height + 1 END AS confirmations FROM outputs")
+def FN13_confirmations(t):
+    height = F.when(F.col("height") % 5 != 0, F.col("height"))
+    depth = status.confirmations(F.lit(tip_of(t)), height)
+    return hexed(t.outputs().select("txid", "vout", F.coalesce(depth, F.lit(0)).alias("confirmations")))
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------------
 
 
@@ -984,18 +1114,17 @@ def MET15_route_label(t):
 
 @query(f"SELECT txid, vout, value, height, confirmations, part, {amount_sql('value')} AS amount FROM {UTXOS} WHERE script_hash = sha256('spk:9')")
 def API1_utxos(t):
-    rows = _utxos(t).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:9")))
-    return whole(hexed(rows.select("txid", "vout", "value", "height", "confirmations", "part", "amount")))
+    return whole(hexed(_utxos_of(t, 9).select("txid", "vout", "value", "height", "confirmations", "part", "amount")))
 
 
 @query(f"SELECT {amount_sql('sum(value)')} AS balance FROM {UTXOS} WHERE script_hash = sha256('spk:9')")
 def API3_balance(t):
-    return address.balance(_utxos(t).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:9")))).select("balance")
+    return address.balance(_utxos_of(t, 9)).select("balance")
 
 
 @query(f"SELECT confirmed, pending, {amount_sql('pending')} AS pending_text FROM {INFO} WHERE script_hash = sha256('spk:9')")
 def API4_info(t):
-    rows = address.info(live(t), t.pending(), t.pending_spends()).filter(F.col("script_hash") == hashing.sha256(F.lit("spk:9")))
+    rows = address.info(live_of(t, 9), t.pending(), t.pending_spends(), [script(9)])
     return whole(rows.select("confirmed", "pending", "pending_text"))
 
 
