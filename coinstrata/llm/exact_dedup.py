@@ -45,13 +45,16 @@ def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
 def rice_decode(n: int, b: int, data: bytes) -> np.ndarray:
     """The n sorted values that rice_encode coded."""
     bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))
-    quotients, starts = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.int64)
-    ones, i, at = np.flatnonzero(bits), 0, 0
-    for k in range(n):  # the next stop is the first one at or after this code's start
-        i = int(np.searchsorted(ones, at)) if b else k
-        quotients[k] = ones[i] - at
-        at = int(ones[i]) + 1 + b
-        starts[k] = at - b
+    ones = np.flatnonzero(bits)
+    # the next stop is the first one at or after the next code's start: found for all ones at once, then followed
+    after = np.searchsorted(ones, ones + 1 + b).tolist()
+    stop, i = np.empty(n, dtype=np.int64), 0
+    for k in range(n):
+        stop[k] = i
+        i = after[i]
+    stops = ones[stop]
+    starts = stops + 1
+    quotients = np.diff(starts, prepend=np.int64(-b)).astype(np.uint64) - np.uint64(1 + b)
     gaps = quotients << np.uint64(b)
     for k in range(b):
         gaps |= bits[starts + k].astype(np.uint64) << np.uint64(b - 1 - k)

@@ -237,6 +237,24 @@ def test_near_rows_go_by_text(spark):
     assert kept == collections.Counter([(None, "alone"), (None, None), (4, "another"), (3, two + " end"), (3, "third"), (8, three + " end")])
 
 
+def test_a_hot_shingle(spark):
+    """A passage that all texts share, in groups of near copies of many sizes and one very long text."""
+    r = random.Random(11)
+    passage = "a passage of words that every one of these texts holds " * 2
+    rows = []
+    for g in range(40):
+        own = [f"g{g}w{r.randrange(500)}" for _ in range(60 + 5 * g)]
+        for k in range(r.randrange(1, 6)):
+            t = list(own)
+            t[k] = f"edit{k}"
+            rows.append((len(rows) + 1, passage + " ".join(t)))
+    rows += [(len(rows) + 1, passage + " ".join(f"l{r.randrange(10**6)}" for _ in range(60_000)))]
+    rows += [(len(rows) + 1, rows[-1][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit(1)).withColumn("h", F.lit(2)).repartition(5)
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_groups(docs).collect()}
+    assert [got[i] for i, _ in rows] == brute_components([i for i, _ in rows], [shingles(t) for _, t in rows])
+
+
 def test_a_hot_text(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = exact_dedup.exact_dedup(rows)
@@ -268,6 +286,28 @@ def test_scaled_sketch(docs, plain, none):
     assert scaled_sketch.compare_edited(none).count() == 0
 
 
+def test_sketches_hold_every_small_hash(docs, plain):
+    """Fingerprints and likenesses against sets of single shingles, hashed one by one."""
+    def plain_sketch(text):
+        hashes = {int(shingle_sets([" ".join(x).encode()])[0][0]) for x in shingles(text)}
+        kept = {h for h in hashes if h < (1 << 64) // scaled_sketch.SCALE} or ({min(hashes)} if hashes else set())
+        return {h >> (64 - scaled_sketch.BITS) for h in kept}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    rows = sorted({(i, t or "") for i, t, *_ in plain if i is not None}, key=lambda r: (-r[0], r[1]))
+    got = {(r.doc_id, r.n_chars): r for r in scaled_sketch.compare_edited(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("fingerprint", F.lit("x")).withColumn("next", F.lit(1))).collect()}
+    memo = {t: plain_sketch(t) for _, t in rows}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = plain_sketch(t[: len(t) - half] + after[:half])
+        r = got[i, len(t)]
+        assert set(scaled_sketch.of_text(r.fingerprint).tolist()) == memo[t] and set(scaled_sketch.of_text(r.edited_fingerprint).tolist()) == edited
+        assert r.near_edited == pytest.approx(like(memo[t], edited)) and r.near_next == pytest.approx(like(memo[t], memo[after]))
+
+
 def test_sketches_estimate_and_merge():
     texts = [prose(3000, 5), prose(3000, 5) + " " + prose(3000, 6), prose(200, 7)]
     a, b, c = scaled_sketch.sketches([t.encode() for t in texts])
