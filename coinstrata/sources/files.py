@@ -1,15 +1,21 @@
-"""Dump and record files as DataFrames: Spark lists and reads the files, tasks decode them.
+"""Dump and record files as DataFrames: Spark lists the files, tasks decode them.
 
-binaryFile goes through Hadoop's file systems, so any store that Spark reads will do; a file is a task's work.
+Files of fixed-width records are read by ranges of whole records, many tasks to a file of any size, through Arrow's file
+systems (an opener of one's own may take their place).  Dumps and block rows are of variable length: there a file is a task's
+work, read by binaryFile, which takes any store that Spark reads and files up to 2 GB.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from decimal import Decimal
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +28,9 @@ META = "height int, ts timestamp, block_hash binary, prev_hash binary, tx8 array
 BLOCKS = "height int, block_hash binary, block binary"
 TX = "struct<txid:binary, coinbase:boolean, ins:array<struct<prev_txid:binary, prev_vout:bigint>>, outs:array<struct<value:decimal(20,0), script:binary>>>"
 DECODED = f"height int, block_hash binary, prev_hash binary, ts timestamp, header binary, txs array<{TX}>"
+RANGES = "path string, kind string, width int, at long, size long"
+#: Bytes of a file that make a task's range, records of a batch, rows of a frame.
+RANGE, RECORDS, ROWS = 64 << 20, 1 << 14, 256
 HEADERS = "path string, size long, kind string, chain int, net int, first int, last int, count long, width int, complete boolean"
 
 
@@ -33,13 +42,80 @@ def _frame(rows: list[dict], columns: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
 
 
-def _each(spark: SparkSession, path: str, pattern: str, columns: str, rows_of) -> DataFrame:
+def decoded(contents: DataFrame, columns: str, rows_of: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """Rows of whole files (content), ROWS to a frame."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                yield _frame(rows_of(bytes(content)), columns)
+                rows = iter(rows_of(bytes(content)))
+                while some := list(islice(rows, ROWS)):
+                    yield _frame(some, columns)
+
+    return contents.select("content").mapInPandas(run, columns)
+
+
+def opened(path: str):
+    """A file by Hadoop's name of it, in any file system that Arrow knows."""
+    from pyarrow import fs
+
+    local = re.match(r"file:(?://)?(?=/)", path)
+    if local:
+        return fs.LocalFileSystem().open_input_file(path[local.end() :])
+    system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_file(name)
+
+
+def ranges(spark: SparkSession, path: str, pattern: str, per_task: int = RANGE, opener: Callable = opened) -> DataFrame:
+    """Ranges of whole records of files whose size is what their header says; another size raises."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, size in zip(b["path"], b["length"]):
+                with opener(p) as f:
+                    head = codec.file_header(f.read(codec.FILE_HEADER))
+                if not codec.complete(size, head):
+                    raise codec.CodecError(f"{p}: {size} bytes, the header has {head.count} records of {head.width}")
+                step = max(1, per_task // head.width) * head.width
+                rows += [{"path": p, "kind": head.kind, "width": head.width, "at": at, "size": min(step, size - at)} for at in range(codec.FILE_HEADER, size, step)]
+            yield _frame(rows, RANGES)
+
+    found = _files(spark, path, pattern).select("path", "length").mapInPandas(run, RANGES)
+    # a number of its own: rows here are few bytes and would be gathered into one task
+    return found.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "at")
+
+
+def _records(spark: SparkSession, path: str, pattern: str, columns: str, kind: str, arrays: Callable[[np.ndarray], list], per_task: int, opener: Callable) -> DataFrame:
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] != kind:
+                    raise codec.CodecError(f"{r['path']} holds {r['kind']}")
+                with opener(r["path"]) as f:
+                    f.seek(r["at"])
+                    for start in range(0, r["size"], RECORDS * r["width"]):
+                        data = f.read(min(RECORDS * r["width"], r["size"] - start))
+                        yield pa.RecordBatch.from_arrays(arrays(codec.record_array(data, kind, r["width"])), names=names)
+
+    return ranges(spark, path, pattern, per_task, opener).mapInArrow(run, columns)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """BINARY of a column of bytes of one width."""
+    return pa.Array.from_buffers(pa.binary(x.dtype.itemsize), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def _output_arrays(x: np.ndarray) -> list:
+    flag = x["coinbase"] == 1 if "coinbase" in x.dtype.names else np.zeros(len(x), bool)
+    value = pa.array(x["value"].astype(np.uint64)).cast(pa.decimal128(20, 0))
+    return [_binary(x["txid"]), pa.array(x["vout"].astype(np.int64)), value, pa.array(x["height"].astype(np.int32)), _binary(x["script_hash"]), _binary(x["block_hash"]), pa.array(flag)]
 
-    return _files(spark, path, pattern).select("content").mapInPandas(run, columns)
+
+def _spend_arrays(x: np.ndarray) -> list:
+    return [_binary(x["prev_tx8"]), pa.array(x["prev_vout"].astype(np.int64)), _binary(x["spender_tx8"])]
 
 
 def headers(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -56,20 +132,32 @@ def headers(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return _files(spark, path, pattern).select("path", "length", F.substring("content", 1, codec.FILE_HEADER).alias("head")).mapInPandas(run, HEADERS)
 
 
+def dump_rows(data: bytes) -> Iterator[dict]:
+    return (dict(zip(("height", "block_hash", "block"), b)) for b in codec.raw_blocks(data))
+
+
+def output_rows(data: bytes) -> Iterator[dict]:
+    return ({**r, "value": Decimal(r["value"])} for r in codec.records(data))
+
+
+def meta_rows(data: bytes) -> Iterator[dict]:
+    return ({**r, "ts": datetime.fromtimestamp(r["ts"], timezone.utc).replace(tzinfo=None)} for r in codec.meta_blocks(data))
+
+
 def raw_blocks(spark: SparkSession, path: str, pattern: str = "blocks-*.xdmp") -> DataFrame:
-    return _each(spark, path, pattern, BLOCKS, lambda d: [dict(zip(("height", "block_hash", "block"), b)) for b in codec.raw_blocks(d)])
+    return decoded(_files(spark, path, pattern), BLOCKS, dump_rows)
 
 
-def outputs(spark: SparkSession, path: str, pattern: str = "outputs-*.dat") -> DataFrame:
-    return _each(spark, path, pattern, OUTPUTS, lambda d: [{**r, "value": Decimal(r["value"])} for r in codec.records(d)])
+def outputs(spark: SparkSession, path: str, pattern: str = "outputs-*.dat", per_task: int = RANGE, opener: Callable = opened) -> DataFrame:
+    return _records(spark, path, pattern, OUTPUTS, "outputs", _output_arrays, per_task, opener)
 
 
-def spends(spark: SparkSession, path: str, pattern: str = "spends-*.dat") -> DataFrame:
-    return _each(spark, path, pattern, SPENDS, lambda d: list(codec.records(d)))
+def spends(spark: SparkSession, path: str, pattern: str = "spends-*.dat", per_task: int = RANGE, opener: Callable = opened) -> DataFrame:
+    return _records(spark, path, pattern, SPENDS, "spends", _spend_arrays, per_task, opener)
 
 
 def meta(spark: SparkSession, path: str, pattern: str = "meta-*.dat") -> DataFrame:
-    return _each(spark, path, pattern, META, lambda d: [{**r, "ts": datetime.fromtimestamp(r["ts"], timezone.utc).replace(tzinfo=None)} for r in codec.meta_blocks(d)])
+    return decoded(_files(spark, path, pattern), META, meta_rows)
 
 
 def decode(blocks: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ TRIES = 10
 READY = 0.99
 #: Blocks that a headers-first node may lack when it counts as synced.
 NEAR_TIP = 5
+#: A node's answer code for a transaction that it doesn't have (fixed by the protocol).
+UNKNOWN_TX = -5
 _CREDENTIALS = re.compile(r"(://)[^/\s:@]+:[^/\s@]+@")
 
 
@@ -41,15 +43,17 @@ def retried(f: Callable[[], Any], tries: int = TRIES) -> Any:
                 raise
 
 
-def in_request_order(answers: list[dict], n: int) -> list:
-    """Results of a batch in the order of its calls; every call must be answered exactly once."""
+def in_request_order(answers: list[dict], n: int, absent: int | None = None) -> list:
+    """Results of a batch in the order of its calls; every call must be answered exactly once.  Errors raise, but for those
+    of the code absent, whose result is None."""
     by_id = {a["id"]: a for a in answers}
     if len(answers) != n or set(by_id) != set(range(n)):
         raise ValueError(f"{len(answers)} answers for {n} calls")
     for a in answers:
-        if a.get("error"):
-            raise ValueError(clean_error(str(a["error"])))
-    return [by_id[i]["result"] for i in range(n)]
+        error = a.get("error")
+        if error and (absent is None or not isinstance(error, dict) or error.get("code") != absent):
+            raise ValueError(clean_error(str(error)))
+    return [by_id[i].get("result") for i in range(n)]
 
 
 def clean_error(message: str) -> str:
@@ -105,8 +109,13 @@ class Node:
 
     def transaction(self, txid: str) -> bytes | None:
         """A pending transaction, None if it is gone."""
-        raw = self._call("getrawtransaction", txid)
-        return bytes.fromhex(raw) if raw else None
+        return self.transactions([txid])[0]
+
+    def transactions(self, txids: list[str]) -> list[bytes | None]:
+        """Pending transactions in one batch, in the order asked for; None for those that are gone."""
+        calls = [("getrawtransaction", [t]) for t in txids]
+        found = in_request_order(retried(lambda: self.client.batch(calls)), len(calls), UNKNOWN_TX)
+        return [bytes.fromhex(x) if x else None for x in found]
 
 
 def read_blocks(spark: SparkSession, connect: Callable[[], Client], first: int, last: int, per_task: int = 200, per_call: int = 25, auxpow: bool = True) -> DataFrame:
@@ -125,14 +134,16 @@ def read_blocks(spark: SparkSession, connect: Callable[[], Client], first: int,
     return spark.range(first, last + 1, 1, tasks).mapInPandas(run, "height int, block_hash binary, block binary")
 
 
-def read_transactions(ids: DataFrame, connect: Callable[[], Client]) -> DataFrame:
-    """(txid, raw) of pending transactions; raw is null for those that are gone."""
+def read_transactions(ids: DataFrame, connect: Callable[[], Client], per_call: int = 1000) -> DataFrame:
+    """(txid, raw) of pending transactions, per_call to a batch; raw is null for those that are gone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node = None
         for b in batches:
-            node = node or Node(connect())
-            yield pd.DataFrame({"txid": b["txid"], "raw": [node.transaction(t) for t in b["txid"]]})
+            for i in range(0, len(b), per_call):
+                node = node or Node(connect())
+                part = b["txid"].iloc[i : i + per_call].tolist()
+                yield pd.DataFrame({"txid": part, "raw": node.transactions(part)})
 
     return ids.select("txid").mapInPandas(run, "txid string, raw binary")
 

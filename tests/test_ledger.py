@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from coinstrata.functions import addresses, config, text
 from coinstrata.operators import bag, validate
-from coinstrata.plans.engine import Engine, bulk_load, bulk_or_live
+from coinstrata.plans.engine import Engine, bulk_load, bulk_or_live, settled_end
 from coinstrata.sources import codec, files
-from coinstrata.sources.node import FailureStreak, Node, SourceTimeout, in_request_order, read_blocks, retried
+from coinstrata.sources.node import FailureStreak, Node, SourceTimeout, in_request_order, read_blocks, read_transactions, retried
 from coinstrata.streaming.ingest import Ingest, run
 from coinstrata.streaming.mempool import Mempool
 from coinstrata.streaming.store import Store, Unrecoverable
@@ -60,6 +60,10 @@ class FakeClient:
         return {"blocks": len(self.blocks) - 1, "headers": len(self.blocks) - 1, "verificationprogress": 1.0}
 
     def batch(self, calls):
+        if calls[0][0] == "getrawtransaction":
+            self.asked = [*getattr(self, "asked", []), len(calls)]
+            known = {t.txid().hex(): t.encode().hex() for _, _, d in self.blocks for t in codec.block_from_bytes(d).txs}
+            return [{"id": i, "result": known[p[0]]} if p[0] in known else {"id": i, "result": None, "error": {"code": -5, "message": "gone"}} for i, (_, p) in enumerate(calls)]
         return [{"id": i, "result": self.call(m, p)} for i, (m, p) in reversed(list(enumerate(calls)))]
 
 
@@ -113,6 +117,16 @@ def test_files(spark, tmp_path):
     back = files.outputs(spark, str(tmp_path))
     assert back.count() == 12 and back.filter("coinbase").count() == 4 and back.agg(F.sum("value")).first()[0] == Decimal(500 * COIN)
     assert files.spends(spark, str(tmp_path)).count() == 1
+    key = lambda r: (r["txid"], r["vout"], r["value"], r["height"], r["script_hash"], r["block_hash"], r["coinbase"])
+    plainly = sorted(key({**r, "value": int(r["value"])}) for n in ("0", "old") for r in codec.records((tmp_path / f"outputs-{n}.dat").read_bytes()))
+    for per_task in (1, 300, files.RANGE):  # ranges of one, two and all records
+        cut = files.outputs(spark, str(tmp_path), per_task=per_task)
+        assert sorted(key({**{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items()}, "value": int(r["value"])}) for r in cut.collect()) == plainly
+    assert files.ranges(spark, str(tmp_path), "outputs-*.dat", 300).count() == 6
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "spends-1.dat").write_bytes(codec.spends_file(1, 3, 0, 3, [{"prev_tx8": b"a" * 8, "prev_vout": 1, "spender_tx8": b"b" * 8}])[:-1])
+    with pytest.raises(Exception, match="the header has 1 records"):
+        files.spends(spark, str(tmp_path / "torn")).count()
     assert [len(r["tx8"]) for r in files.meta(spark, str(tmp_path)).orderBy("height").collect()] == [1, 2, 1, 1]
     heads = {r["path"].rsplit("/", 1)[1]: r for r in files.headers(spark, str(tmp_path)).collect()}
     assert heads["outputs-old.dat"]["width"] == 120 and heads["outputs-0.dat"]["complete"] and heads["blocks-0.xdmp"]["kind"] == "raw"
@@ -147,6 +161,13 @@ def test_node(spark):
     assert [bytes(r["block"]) for r in rows] == [b for _, _, b in blocks]
     with pytest.raises(ValueError):
         in_request_order([{"id": 0, "result": 1}, {"id": 0, "result": 2}], 2)
+    txs = [t for _, _, d in blocks for t in codec.block_from_bytes(d).txs]
+    assert node.transactions([txs[1].txid().hex(), "00" * 32]) == [txs[1].encode(), None] and node.transaction("11" * 32) is None and node.client.asked == [2, 1]
+    with pytest.raises(ValueError):
+        in_request_order([{"id": 0, "error": {"code": -28}}], 1, -5)
+    ids = spark.createDataFrame([(t.txid().hex(),) for t in txs] + [("22" * 32,)], "txid string")
+    got = {r["txid"]: r["raw"] and bytes(r["raw"]) for r in read_transactions(ids, lambda: FakeClient(blocks), per_call=2).collect()}
+    assert got == {**{t.txid().hex(): t.encode() for t in txs}, "22" * 32: None}
     tries = []
 
     def late():
@@ -226,8 +247,16 @@ def test_compaction_keeps_the_window(spark, tmp_path):
     assert sorted((bytes(r[0]), r[1]) for r in store.first_seen().collect()) == seen
     with pytest.raises(Unrecoverable):
         store.rollback(1)
+    store.commit("b3", outs.filter("height = 3"), ins.filter("spend_height = 3"), meta.filter("height = 3"))
+    assert _key(store.utxo()) == before  # the last batch comes again after the base that holds it
+    outs.withColumn("v", F.lit(0)).drop("v").write.parquet(f"{store.root}/created/v=77")  # a commit that failed half way
+    assert store.vacuum() == [] and _key(store.utxo()) == before
+    gone = store.vacuum(age=0)
+    assert "created/v=77" in gone and "manifest/v=0" in gone and store.vacuum(age=0) == []
+    assert _key(store.utxo()) == before and store.blocks().count() == 4 and sorted((bytes(r[0]), r[1]) for r in store.first_seen().collect()) == seen
     assert store.rollback(2) == 2 and store.tip()[0] == 1 and len(_key(store.utxo())) == 3
     store.halt("reorg")
+    store.compact()
     assert store.halted() == "reorg"
     store.clear_halt()
     assert store.halted() is None
@@ -271,6 +300,9 @@ def test_engine(spark, tmp_path):
     fresh = Store(spark, str(tmp_path / "bulk"), undo=1)
     chain4 = spent_chain()
     o, i, m = files.facts(files.decode(spark.createDataFrame(chain4, "height int, block_hash binary, block binary")))
+    with pytest.raises(text.BadArgument):
+        bulk_load(fresh, o, i, m, 3, 1, end=3)
+    assert settled_end(100, 12) == 88 and settled_end(100, 2, 6, 98) == 98 and settled_end(100, 2, 6, 99, within=True) == 99
     assert bulk_load(fresh, o, i, m, 3, 1).first()["checked"] and fresh.tip()[0] == 2
 
 
