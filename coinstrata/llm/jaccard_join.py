@@ -399,10 +399,11 @@ def _tiles(open_rows: DataFrame) -> DataFrame:
     return rows.join(sides, ["h", "band", "block"]).select("h", "node", "root", "n", "own", "lo", "up", "i", "j", "side")
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, every: bool = False) -> DataFrame:
     """Links (a, b) between classes (s1 of sets) that join all classes of a component; docs has doc_id and text.
 
-    Only enough links to connect: pairs already within a component are not looked at, so these are not all links.
+    Only enough links to connect: pairs already within a component are not looked at, so these are not all links.  With every,
+    all links come, each once: no pair is left out for its component, so k near copies of one text make up to k^2 / 2 rows.
     """
     spark = docs.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -421,11 +422,15 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     own = classes.select("node", "hashes").mapInArrow(task(_block_rows), "block long, nodes binary, sizes binary, h binary")
     nodes = materialize(own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_nodes(few), "node long, n long, own long, bits binary, entries array<long>"), tasks)
     entries = nodes.select(F.explode("entries").alias("h"), "node", "n", "own")
-    found = materialize(verified(_stars(entries, F.col("node")), nodes, classes, tasks), tasks)
-    pairs = _stars(entries, -F.col("node")).join(found, ["a", "b"], "left_anti")
-    found = materialize(found.union(verified(pairs, nodes, classes, tasks)), tasks)
-    roots = components(found)
-    labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")), tasks)
+    if every:  # each class is a component of its own, so every tile meets
+        found = spark.createDataFrame([], "a long, b long")
+        labelled = materialize(entries.withColumn("root", F.col("node")), tasks)
+    else:
+        found = materialize(verified(_stars(entries, F.col("node")), nodes, classes, tasks), tasks)
+        pairs = _stars(entries, -F.col("node")).join(found, ["a", "b"], "left_anti")
+        found = materialize(found.union(verified(pairs, nodes, classes, tasks)), tasks)
+        roots = components(found)
+        labelled = materialize(entries.join(roots, "node", "left").select("h", "node", "n", "own", F.coalesce("root", "node").alias("root")), tasks)
     several = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("h", "k")
     tile = ["h", "lo", "up", "i", "j"]
     rows = _tiles(materialize(labelled.join(several, "h"), tasks)).join(nodes.select("node", "bits"), "node")
@@ -449,3 +454,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("k").alias("size")).filter("size > 1")
     by_class = materialize(rooted.join(lows, "root").select("s1", "s2", F.col("n").alias("m"), "component_id"))
     return sets.join(small_side(by_class, 100_000), ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links for each row of docs: every link is found, those within a component too.
+
+    A class is the rows of one set, class_id its least id; n_links is how many other rows link with this one, those of its own
+    class included.  Texts without shingles are a class each and have no links.  Null ids count as rows and are ignored by the
+    minimum.  Links are held between classes, so copies cost nothing; see links() for what many near copies cost.
+    """
+    rows = text_rows(docs, id_col, text_col)
+    sets = materialize(rows.mapInArrow(task(_sets), "doc_id long, n long, s1 long, s2 long"))
+    found = materialize(links(rows, sets, every=True))
+    classes = materialize(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")))
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(classes.select(F.col("s1").alias("b"), F.col("k").alias("_k")), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("_k").alias("_others"))
+    linked = classes.join(others, "s1", "left").withColumn("_links", F.col("k") - 1 + F.coalesce("_others", F.lit(0))).filter("_links > 0")
+    by_class = materialize(linked.select("s1", "s2", "low", "_links"))
+    out = sets.withColumn("_set", F.col("n") > 0).join(small_side(by_class, 100_000).withColumn("_set", F.lit(True)), ["s1", "s2", "_set"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))

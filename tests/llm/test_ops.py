@@ -366,6 +366,34 @@ def test_jaccard_join_at_the_threshold(spark):
     assert [got[i] for i, _ in rows] == want and 12 < len(set(want)) < len(rows)
 
 
+def plain_links(rows):
+    """(doc_id, n_shingles, class_id, n_links) by comparing all pairs."""
+    sets = [frozenset(shingles(t)) for _, t, *_ in rows]
+    out = []
+    for (i, *_), s in zip(rows, sets):
+        same = [r[0] for r, x in zip(rows, sets) if s and x == s and r[0] is not None]
+        near = sum(bool(s) and 100 * len(s & x) >= 80 * len(s | x) for x in sets)
+        out.append(key((i, len(s), min(same, default=i), max(0, near - 1))))
+    return sorted(out)
+
+
+def test_every_link(docs, plain, none, spark, monkeypatch):
+    got = jaccard_join.near_links(docs.withColumn("k", F.lit(1)).withColumn("low", F.lit(2))).collect()
+    assert sorted(key(tuple(r)) for r in got) == plain_links(plain)
+    assert jaccard_join.near_links(none).count() == 0
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # a group of near copies over many tiles
+    r = random.Random(8)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(90):
+        t = list(base)
+        for _ in range(r.randrange(6)):
+            t[r.randrange(len(t))] = f"x{r.randrange(10**6)}"
+        rows += [(len(rows) + j, " ".join(t[: len(t) - r.randrange(9)])) for j in range(1, 2 + (k % 4 == 0))]
+    got = jaccard_join.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = plain_links(rows)
+    assert sorted(key(tuple(x)) for x in got) == want and len({x[3] for x in want}) > 10
+
+
 def test_signatures_never_lose():
     r = np.random.default_rng(3)
     for _ in range(200):
