@@ -188,6 +188,31 @@ def test_suffix_tree_splits_hot_tokens(spark, monkeypatch):
     assert len(set(context.tolist())) > 41 + 10 and (np.diff(cuts) > 0).sum() > 20
 
 
+def test_suffix_tree_scores_alike_beyond_the_limit(spark):
+    """A token over the limit is one context: what follows it is as likely whatever rare word stands before."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    text = "".join(f"w{k} the {y} " * 150_000 for k, y in enumerate("abcdefgh"))
+    rows = [(None, text), *((i, f"u{i} the a") for i in ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r.score for r in suffix_tree.score_texts(docs).filter("held_out").collect()}
+    # "the" and "a" are states (w0 and once w1 follow "a"), an unknown token and an end that stands before one word are none
+    n, v = 3_600_001, 18
+    same = (150_000 - 0.5) / n  # tokens of one class of counts; only the end is seen once
+    seen = lambda c, kinds, total, lower: (c + kinds * lower) / (total + kinds)
+    root = {"the": (1_200_000 - 0.5) / n, "a": same, "end": 0.5 / n, "unknown": 0.5 * v / n}
+    want = [root["unknown"], root["the"], seen(150_000, 8, 1_200_000, root["a"]), seen(0, 2, 150_000, root["end"])]
+    assert len(scores) == 1 and scores.pop() == pytest.approx(sum(map(math.log10, want)), abs=0.001)
+
+
+@pytest.mark.parametrize("limit", [1, 12, 60])
+def test_suffix_tree_is_the_same_by_any_limit(docs, spark, limit):
+    """Neither the limit, which makes tokens, pairs and ends hot, nor blocks nor owners change a score."""
+    rows = lambda df, **kw: sorted(key(r) for r in suffix_tree.score_texts(df, **kw).collect())
+    want = rows(docs)
+    assert rows(docs, owner_events=limit) == want
+    assert rows(docs.repartition(1), owner_events=limit) == want
+
+
 def test_suffix_tree_on_held_out_texts(spark):
     """Texts that the tree hasn't seen are likelier by it than by unigrams."""
     sums = suffix_tree.score_texts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).groupBy("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).collect()
