@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coinstrata.llm._common import LOWER, SPACE, chunks, hashes_of, task, text_rows
+from coinstrata.llm._common import LOWER, SPACE, chunks, give_back, hashes_of, task, text_rows
 
 #: Bytes of a piece that is merged at once, and of a leaf of a longer one.
 SHORT = 24
@@ -35,7 +35,7 @@ WINDOW = 4
 CACHE = 48 << 20
 ENTRY = 180
 #: Bytes of text that are cut into units at once.
-PART = 1 << 20
+PART = 1 << 19
 #: Pairs of tokens whose agreement a task keeps.
 PAIRS = 200_000
 
@@ -94,6 +94,8 @@ class WordBpe:
         self.decoded, self.kept = decoded, 0
         self.ids: dict[int, bytes] = {}
         self.text: dict[int, bytes] = {}
+        del spec, model, vocab, rules, keys, values, order
+        give_back()
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """The merges of a short run of symbols, lowest rank and leftmost first."""
@@ -158,6 +160,8 @@ class WordBpe:
             spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
             spec["model"]["end_of_word_suffix"] = None
             self.open_model = Tokenizer.from_str(json.dumps(spec))
+            del spec
+            give_back()  # the file as objects and as text, several times what the model keeps
         inner = signs[:-1] if last else signs
         out = [x.ids for x in self.open_model.encode_batch(inner, add_special_tokens=False)] if len(inner) > 1 else [[t.id for t in self.open_model.model.tokenize(x)] for x in inner]
         return [*out, [t.id for t in self.library.model.tokenize(signs[-1])]] if last else out
@@ -254,8 +258,8 @@ class WordBpe:
         solid = kind > 0
         edges = np.diff(solid.view(np.int8), prepend=np.int8(0))
         a, z = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        odd = np.concatenate([[0], np.cumsum(kind == 4)])
-        whole = odd[z] > odd[a]  # chunks that are units
+        odd = np.flatnonzero(kind == 4)
+        whole = np.searchsorted(odd, z) > np.searchsorted(odd, a)  # chunks that are units
         turn = np.zeros(len(raw) + 1, dtype=np.int8)
         turn[a[whole]] += 1
         turn[z[whole]] -= 1

@@ -951,3 +951,21 @@ def test_pipeline(spark, tmp_path):
     assert len(secret) <= 1 and kept.filter("text LIKE '%0123456789abcdef%'").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+def test_hashing_keeps_no_table_of_a_chunk_and_units_stay_near_their_text():
+    from coinstrata.llm._common import _BASE, _BYTES, hashes_of, mix
+
+    signs = np.frombuffer(prose(20_000, 5).encode()[: 1 << 16] + b"\n", dtype=np.uint8)
+    starts = np.array([0, 3, 4090, 4095, 4096, 8192, len(signs) - 9, len(signs) - 1])
+    ends = np.array([3, 3, 4100, 4096, 8193, 8192, len(signs), len(signs)])
+    plain = [sum(int(_BYTES[signs[a + i]]) * pow(_BASE, i, 1 << 64) for i in range(z - a)) + z - a for a, z in zip(starts.tolist(), ends.tolist())]
+    assert hashes_of(signs, starts, ends).tolist() == mix(np.array([x % (1 << 64) for x in plain], dtype=np.uint64)).tolist()
+    text = prose(200_000, 6)[: 1_000_000].encode()
+    tracemalloc.start()
+    try:
+        units = bpe.WordBpe.units([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(units[1]) > 100_000 and peak < 40 * len(text)
